@@ -153,3 +153,57 @@ def blocks(texts: list[str], most: int = 1_000_000):
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0xD6E8FEB86659FD93) + b
+    h ^= h >> np.uint64(32)
+    return h * _MIX
+
+
+def long_gram_hashes(code: np.ndarray, n: int) -> np.ndarray:
+    """As gram_hashes, by doubling: a few array passes whatever ``n`` is."""
+    size = len(code) - n + 1
+    if size <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    power = _joined(code.astype(np.uint64), np.uint64(n))
+    done, out, width = 0, None, 1
+    while n:
+        if n & 1:
+            part = power[done : done + size]
+            out = part if out is None else _joined(out, part)
+            done += width
+        n >>= 1
+        if n:
+            power = _joined(power[:-width], power[width:])
+            width *= 2
+    return out ^ (out >> np.uint64(29))
+
+
+def winnowed(code: np.ndarray, offsets: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints of each text: the least n-gram hash of every ``window``
+    consecutive ones, so any shared run of n + window - 1 characters shares one. Texts with
+    fewer n-grams than a window keep their least one."""
+    grams, ends = grams_by_text(long_gram_hashes(code, n), offsets, n)
+    low, width = grams, 1
+    while width < window:
+        step = min(width, window - width)
+        low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
+        width += step
+    counts = np.diff(ends)
+    full = np.maximum(counts - window + 1, 0)
+    at = np.concatenate([[0], np.cumsum(full)])
+    place = np.arange(at[-1]) + np.repeat(ends[:-1] - at[:-1], full)
+    values = low[place] if len(place) else grams[:0]
+    text = np.repeat(np.arange(len(counts)), full)
+    if len(values) > 1:
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (text[1:] != text[:-1])])
+        values, text = values[new], text[new]
+    few = np.flatnonzero((counts > 0) & (full == 0))
+    if len(few):
+        values = np.concatenate([values, np.array([grams[ends[i] : ends[i + 1]].min() for i in few.tolist()], dtype=np.uint64)])
+        text = np.concatenate([text, few])
+        order = np.argsort(text, kind="stable")
+        values, text = values[order], text[order]
+    sizes = np.bincount(text, minlength=len(counts)) if len(text) else np.zeros(len(counts), dtype=np.int64)
+    return distinct_sorted(values, np.concatenate([[0], np.cumsum(sizes)]))

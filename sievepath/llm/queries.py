@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping
+from . import capping, nearcopy
 from .sql import ORACLES
 
 
@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _near(spark: SparkSession, sf: str):
+    return nearcopy.near_pairs(spark, nearcopy.usable_items(_table(spark, sf, "candidate_item")), threshold=0.7)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopy.item_pairs(*_near(spark, sf))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopy.groups(spark, *_near(spark, sf))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = capping.contributions(_table(spark, sf, "zhihu_content"), "row_id", "batch_no", "author.id", "voteup_count")
     return capping.cap_contributors(spark, rows, limit=12)[1].select("row_id")
