@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, nearcopy
+from . import capping, history, nearcopy
 from .sql import ORACLES
 
 
@@ -38,6 +38,10 @@ def p3_kept(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(F.col("who").alias("author_id")).agg(F.count("*").alias("n_kept"), F.max("score").alias("best_votes"), F.min("score").alias("cutoff_votes"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return history.replay(spark, _table(spark, sf, "zhihu_content").select("row_id", "batch_no", "id", "content"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
