@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -17,8 +18,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as tmp:
-        root = Path(tmp, "root")
-        shutil.copytree(package, root / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tmp, package.name)), "zip", root))
+    tmp = tempfile.mkdtemp(prefix="sievepath-ship-")  # the driver's own; executors fetch from it while the application lives
+    atexit.register(shutil.rmtree, tmp, True)
+    root = Path(tmp, "root")
+    shutil.copytree(package, root / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tmp, package.name)), "zip", root))
     _shipped.add(app)
