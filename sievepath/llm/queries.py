@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, history, nearcopy
+from . import capping, history, nearcopy, vectors
 from .sql import ORACLES
 
 
@@ -38,6 +38,28 @@ def p3_kept(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(F.col("who").alias("author_id")).agg(F.count("*").alias("n_kept"), F.max("score").alias("best_votes"), F.min("score").alias("cutoff_votes"))
 
 
+_FIELDS = {"embedding": 64, "embedding_fine": 128}
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    items, out = _table(spark, sf, "candidate_item"), None
+    for field, length in _FIELDS.items():
+        pairs = vectors.similar_pairs(spark, vectors.usable(items, field, length), floor=0.92)
+        part = vectors.mutual(pairs, k=10).select(F.lit(field).alias("field"), "item_id_a", "item_id_b")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every item whose seq is divisible by 20, against all items."""
+    items, out = _table(spark, sf, "candidate_item"), None
+    for field, length in _FIELDS.items():
+        all_ = vectors.usable(items, field, length)
+        part = vectors.nearest(spark, all_, all_.where("seq % 20 = 0"), k=10).select(F.lit(field).alias("field"), "item_id", "neighbour_id", "place", F.round("cosine", 6).alias("cosine"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.replay(spark, _table(spark, sf, "zhihu_content").select("row_id", "batch_no", "id", "content"))
 
