@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, history, nearcopy, vectors
+from . import capping, history, mixing, nearcopy, packing, vectors
 from .sql import ORACLES
 
 
@@ -64,6 +64,26 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.replay(spark, _table(spark, sf, "zhihu_content").select("row_id", "batch_no", "id", "content"))
 
 
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf, "documents"), _table(spark, sf, "pack_container"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p6_pack(spark, sf), _table(spark, sf, "pack_container"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.Mix(spark, _table(spark, sf, "documents"), _table(spark, sf, "mix_target")).uses()
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.Mix(spark, _table(spark, sf, "documents"), _table(spark, sf, "mix_target")).shares()
+
+
+def p7_order(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.Mix(spark, _table(spark, sf, "documents"), _table(spark, sf, "mix_target")).order()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
