@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, history, mixing, nearcopy, packing, vectors
+from . import capping, history, mixing, nearcopy, packing, truncation, vectors
 from .sql import ORACLES
 
 
@@ -15,6 +15,19 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "zhihu_content").select("row_id", F.col("metadata").getItem("source").alias("source"), "content", "excerpt")
+    return truncation.judged(spark, rows)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).where("why is not null").select("row_id", "field")
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(_judged(spark, sf))
+
+
 def _near(spark: SparkSession, sf: str):
     return nearcopy.near_pairs(spark, nearcopy.usable_items(_table(spark, sf, "candidate_item")), threshold=0.7)
 
