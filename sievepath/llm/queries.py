@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capping, history, mixing, nearcopy, packing, truncation, vectors
+from . import capping, history, mixing, nearcopy, packing, pii, truncation, vectors
 from .sql import ORACLES
 
 
@@ -97,6 +97,14 @@ def p7_order(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mix(spark, _table(spark, sf, "documents"), _table(spark, sf, "mix_target")).order()
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.Finder(spark, _table(spark, sf, "documents")).spans().select("doc_id", "kind", "start_pos")
+
+
+def p8_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.Finder(spark, _table(spark, sf, "documents")).masked()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
