@@ -57,7 +57,7 @@ _FIELDS = {"embedding": 64, "embedding_fine": 128}
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     items, out = _table(spark, sf, "candidate_item"), None
     for field, length in _FIELDS.items():
-        pairs = vectors.similar_pairs(spark, vectors.usable(items, field, length), floor=0.92)
+        pairs = vectors.similar_pairs(spark, vectors.fit_rows(items, field, length), floor=0.92)
         part = vectors.mutual(pairs, k=10).select(F.lit(field).alias("field"), "item_id_a", "item_id_b")
         out = part if out is None else out.unionByName(part)
     return out

@@ -29,16 +29,21 @@ from pyspark.sql import functions as F
 
 from ._store import Scratch
 
-TABLES, HASHES, WIDTH, PROBES = 6, 12, 1.2, 6
+TABLES, HASHES, WIDTH, PROBES = 7, 14, 1.2, 5
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8")])
 NEAREST_WALLS = 6
 
 
-def usable(df: DataFrame, field: str, length: int, item: str = "item_id", seq: str = "seq") -> DataFrame:
-    """(item_id, seq, vec) of usable vectors, one an item."""
+def fit_rows(df: DataFrame, field: str, length: int, item: str = "item_id", seq: str = "seq") -> DataFrame:
+    """(item_id, seq, vec) of every row with a usable vector."""
     v = F.col(field)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(item).isNotNull() & (F.size(v) == length) & fine).select(F.col(item).alias("item_id"), F.col(seq).cast("bigint").alias("seq"), v.cast("array<float>").alias("vec"))
+    return df.where(F.col(item).isNotNull() & F.col(seq).isNotNull() & (F.size(v) == length) & fine).select(F.col(item).alias("item_id"), F.col(seq).cast("bigint").alias("seq"), v.cast("array<float>").alias("vec"))
+
+
+def usable(df: DataFrame, field: str, length: int, item: str = "item_id", seq: str = "seq") -> DataFrame:
+    """As fit_rows, one an item."""
+    rows = fit_rows(df, field, length, item, seq)
     first = rows.groupBy("item_id").agg(F.min("seq").alias("seq"))
     return rows.join(first, ["item_id", "seq"]).dropDuplicates(["item_id"])
 
@@ -82,18 +87,24 @@ def _keys(x: np.ndarray, t: int, hashes: int, width: float, probes: int) -> np.n
     return (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t)
 
 
+def _docs(batch: pa.RecordBatch) -> np.ndarray:
+    """A class for each vector: equal directions share it."""
+    x = np.ascontiguousarray(_unit(batch.column("vec")).astype(np.float32).round(6) + 0.0)
+    return np.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in x], dtype=np.int64)
+
+
 def _classes(batches):
     for batch in batches:
-        x = np.ascontiguousarray(_unit(batch.column("vec")).astype(np.float32).round(6) + 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("seq"), pa.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in x], pa.int64())], names=["item_id", "seq", "doc"])
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("seq"), pa.array(_docs(batch), pa.int64())], names=["item_id", "seq", "doc"])
 
 
 def _emit(slices: int, tables: int, hashes: int, width: float, probes: int):
     def run(batches):
         for batch in batches:
-            docs, x = batch.column("doc").to_numpy(), _unit(batch.column("vec"))
-            if not len(docs):
+            if not len(batch):
                 continue
+            docs, at = np.unique(_docs(batch), return_index=True)
+            x = _unit(batch.column("vec"))[at]
             homes, visits = [], []
             with np.errstate(over="ignore"):
                 for t in range(tables):
@@ -120,7 +131,7 @@ def _meet(batches, most: int = 2_000_000):
             held[s][1].append(np.frombuffer(v, dtype=ENTRY))
     for s in list(held):
         h, v = (np.concatenate(x) for x in held.pop(s))
-        h = h[np.argsort(h["key"], kind="stable")]
+        h, v = np.unique(h), np.unique(v)  # copies come from several tasks
         seekers = np.concatenate([h, v])
         lo, hi = np.searchsorted(h["key"], seekers["key"], side="left"), np.searchsorted(h["key"], seekers["key"], side="right")
         n = hi - lo
@@ -152,16 +163,16 @@ def similar_pairs(spark: SparkSession, vectors: DataFrame, floor: float, tables:
     """(item_id_a, item_id_b, cosine), a < b, of ``vectors`` (item_id, seq, vec) with a cosine of at least ``floor``."""
     store = Scratch(spark, "vectors")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vectors = store.write(vectors, "vectors")
-    members = store.write(vectors.mapInArrow(_classes, "item_id string, seq bigint, doc bigint"), "members")
+    every = vectors.mapInArrow(_classes, "item_id string, seq bigint, doc bigint")
+    members = store.write(every.groupBy("item_id").agg(F.min(F.struct("seq", "doc")).alias("x")).select("item_id", "x.seq", "x.doc"), "members")
+    met = vectors.mapInArrow(_emit(parts * 2, tables, hashes, width, probes), "slice int, homes binary, visits binary").repartition(parts, "slice").mapInArrow(_meet, "doc_a bigint, doc_b bigint")
     reps = members.groupBy("doc").agg(F.min("seq").alias("seq"))
-    known = store.write(vectors.join(reps, "seq").select("doc", "vec"), "known")
-    store.drop("vectors")
-    met = known.mapInArrow(_emit(parts * 2, tables, hashes, width, probes), "slice int, homes binary, visits binary").repartition(parts, "slice").mapInArrow(_meet, "doc_a bigint, doc_b bigint")
-    pairs = store.write(met.distinct(), "pairs")
-    both = pairs.join(known.select(F.col("doc").alias("doc_b"), F.col("vec").alias("vec_b")), "doc_b").join(known.select(F.col("doc").alias("doc_a"), F.col("vec").alias("vec_a")), "doc_a")
-    scored = store.write(both.select("doc_a", "doc_b", "vec_a", "vec_b").mapInArrow(_score(floor), "doc_a bigint, doc_b bigint, cosine double"), "scored")
-    store.drop("known")
+    pairs = met.distinct().join(reps.select(F.col("doc").alias("doc_a"), F.col("seq").alias("seq_a")), "doc_a").join(reps.select(F.col("doc").alias("doc_b"), F.col("seq").alias("seq_b")), "doc_b")
+    pairs = store.write(pairs, "pairs")
+    known = vectors.select("seq", "vec")  # both joins use one exchange of it
+    half = pairs.withColumnRenamed("seq_b", "seq").join(known, "seq").select("doc_a", "doc_b", F.col("seq_a").alias("seq"), F.col("vec").alias("vec_b"))
+    both = half.join(known, "seq").select("doc_a", "doc_b", F.col("vec").alias("vec_a"), "vec_b")
+    scored = store.write(both.mapInArrow(_score(floor), "doc_a bigint, doc_b bigint, cosine double").dropDuplicates(["doc_a", "doc_b"]), "scored")
     a, b = members.select(F.col("doc").alias("doc_a"), F.col("item_id").alias("x")), members.select(F.col("doc").alias("doc_b"), F.col("item_id").alias("y"))
     across = scored.join(a, "doc_a").join(b, "doc_b").select("x", "y", "cosine")
     shared = members.withColumn("n", F.count("*").over(Window.partitionBy("doc"))).where("n > 1")
