@@ -37,7 +37,7 @@ def normal_tags(tags: Column) -> Column:
     return F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(strip(t))), lambda t: t.isNotNull() & (t != ""))
 
 
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&amp;", "&")]
+_ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&amp;", "&")]
 
 
 def html_text(html: Column) -> Column:
@@ -47,7 +47,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for name, char in _ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.replace(t, F.lit(" "), F.lit(" "))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r"[ \t]+\n", "\n")
     return strip(t)
