@@ -16,8 +16,8 @@ The work of a batch is its own keys times log(history); texts of the history are
 for candidates. Files are replaced by rename, so a task that runs again leaves the same state.
 
 Defined cases: null, blank and ``unknown_`` ids, and ids that are no number, identify nothing;
-contents under ``shortest`` characters and null contents are not compared; equal order is
-impossible, as (batch, row id) is unique; a row that repeats only later rows is no repeat.
+contents under ``shortest`` characters and null contents are not compared; rows with a null
+row id are left out and a null batch is batch 0; (batch, row id) is unique; a row that repeats only later rows is no repeat.
 """
 
 from __future__ import annotations
@@ -393,7 +393,7 @@ def replay(spark: SparkSession, rows: DataFrame, threshold: float = 0.7, shortes
     returns (first_row_id, row_id) of every row that repeats an earlier one."""
     store = Scratch(spark, "history")
     order = F.coalesce("batch_no", F.lit(0)).cast("bigint") * F.lit(1 << ROW_BITS) + F.col("row_id")
-    fed = rows.select(order.alias("ord"), F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "id", "content")
+    fed = rows.where("row_id is not null").select(order.alias("ord"), F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "id", "content")
     shape = "ord bigint, batch_no int, id_key bigint, text_key bigint, " + ", ".join(f"k{g} binary" for g in range(trees // PER_TASK))
     signed = store.write(fed.mapInArrow(_sign(trees, shortest), shape), "signed", by="batch_no")
     forest = HashForest(spark, store, trees, recall, cap)
