@@ -3,7 +3,7 @@
 Two texts match if their distinct five-character runs (see ``_text``) agree to at least
 ``threshold``. Candidates come from rare-first prefix filtering:
 
-1. every text becomes a set of prefix n-grams: winnowed 24-grams, and for short texts the
+1. every text becomes a set of prefix n-grams: winnowed 20-grams, and for short texts the
    five-character runs themselves, for which the prefix bound is exact;
 2. frequencies of all n-grams of all texts are counted into a table of fixed size (2**bits
    counters in log steps, so its broadcast is bounded); collisions only change the order;
@@ -15,10 +15,10 @@ Two texts match if their distinct five-character runs (see ``_text``) agree to a
 
 Equal folded texts are one class and meet nobody inside it; frequent n-grams are split
 into block pairs, so no group of postings is unbounded. Long texts rely on a shared run of
-35 characters and on prefixes for an n-gram overlap of ``overlap``: measured recall is in
+29 characters and on prefixes for an n-gram overlap of ``overlap``: measured recall is in
 the README.
 
-Defined cases: rows with null or blank content or a null id are left out; a null title is
+Defined cases: rows with null or blank content, a null id or a null seq are left out; a null title is
 empty; an id delivered again counts once, with its first row; texts under five letters or
 digits match nobody but their exact copies with the same, non-empty form.
 """
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._store import Scratch
 
-GRAM, WINDOW = 24, 12
+GRAM, WINDOW = 20, 10
 SHORT, LONG = 160, 100  # five-character runs: at most SHORT use exact prefixes, over LONG use winnowed ones
 BITS = 24
 CHUNK = 18  # log2 of the counters in one stored piece of the table
@@ -296,7 +296,7 @@ def near_pairs(spark: SparkSession, items: DataFrame, threshold: float = 0.7, ov
 def usable_items(df: DataFrame, item: str = "item_id", seq: str = "seq", title: str | None = "title", content: str = "content") -> DataFrame:
     body = F.col(content)
     text = body if title is None else F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), body)
-    return df.where(body.isNotNull() & body.rlike(r"[^\s\p{Z}\x{FEFF}]") & F.col(item).isNotNull()).select(F.col(item).alias("item_id"), F.col(seq).cast("bigint").alias("seq"), text.alias("text"))
+    return df.where(body.isNotNull() & body.rlike(r"[^\s\p{Z}\x{FEFF}]") & F.col(item).isNotNull() & F.col(seq).isNotNull()).select(F.col(item).alias("item_id"), F.col(seq).cast("bigint").alias("seq"), text.alias("text"))
 
 
 def item_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
