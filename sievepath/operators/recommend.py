@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +34,37 @@ def tag_scores(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
     return n.withColumn("tag", F.when(F.col("misses") > 0, 0.0).otherwise(F.col("hits").cast("double")))
 
 
+def _topic_sums(sent):
+    """For each batch, the sums of unit vectors by profile and dimension: a few rows, whatever the batch."""
+
+    def run(batches):
+        topics = sent.value
+        for batch in batches:
+            vecs, total = batch.column("embedding").to_pylist(), {}
+            for tags, v in zip(batch.column("tags").to_pylist(), vecs):
+                wanted = set().union(*[topics.get(g, ()) for g in tags or ()])
+                if wanted:
+                    u = np.asarray(v, dtype=np.float64)
+                    u /= np.linalg.norm(u) + 1e-8
+                    for p in wanted:
+                        s, n = total.get(p, (0.0, 0))
+                        total[p] = (s + u, n + 1)
+            for p, (s, n) in total.items():
+                k = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, p)), pa.array(np.arange(k, dtype=np.int32)), pa.array(s), pa.array(np.full(k, n))], names=["profile_id", "d", "s", "n"])
+
+    return run
+
+
 def intents(spark: SparkSession, sf: str) -> DataFrame:
     """One vector a profile: the mean of the unit vectors of items that carry one of its topics as a tag."""
     items = t.candidates(spark, sf).where("embedding is not null")
-    tagged = items.select("item_id", F.explode(F.array_distinct(text.normal_tags(F.col("tags")))).alias("tag"))
-    topics = profile_tags(spark, sf).where("kind = 'topic'").select("profile_id", "tag")
-    chosen = tagged.join(topics, "tag").select("profile_id", "item_id").distinct()
-    each = chosen.join(items.select("item_id", vector.unit(F.col("embedding")).alias("u")), "item_id").select("profile_id", F.posexplode("u").alias("d", "x"))
-    mean = each.groupBy("profile_id", "d").agg(F.avg("x").alias("x"))
+    topics: dict[str, set[int]] = {}
+    for row in profile_tags(spark, sf).where("kind = 'topic'").select("profile_id", "tag").collect():  # as small as the profile table
+        topics.setdefault(row["tag"], set()).add(row["profile_id"])
+    sent = spark.sparkContext.broadcast(topics)
+    sums = items.select(text.normal_tags(F.col("tags")).alias("tags"), "embedding").mapInArrow(_topic_sums(sent), "profile_id bigint, d int, s double, n bigint")
+    mean = sums.groupBy("profile_id", "d").agg((F.sum("s") / F.sum("n")).alias("x"))
     full = mean.groupBy("profile_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("m"))
     return full.select("profile_id", F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("size"), vector.unit(F.col("m")).alias("vec"))
 
@@ -73,14 +97,13 @@ def preferences(spark: SparkSession, sf: str) -> DataFrame:
 def component_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(profile_id, item_id, seq, i2i, tag, semantic, popularity, source, facet, quality, explore) of all open pairs."""
     items = t.candidates(spark, sf)
-    near = scoring.cloud_similarity(spark, items, t.cloud(spark, sf))
-    meant = scoring.cloud_similarity(spark, items, intents(spark, sf), top=1).select("profile_id", "item_id", F.greatest(F.lit(0.0), F.col("i2i")).alias("semantic"))
+    facts = items.select("item_id", "seq", "embedding", "popularity", F.coalesce("source", F.lit("unknown")).alias("from"), F.lower(F.coalesce(F.col("metadata")["author"], F.lit("unknown"))).alias("by"), F.coalesce(F.col("metadata")["depth"], F.lit("unknown")).alias("depth"), scoring.quality_of(F.col("metadata")["quality"]).alias("quality"))
+    pairs = scoring.profile_scores(spark, facts, t.profile_ids(spark, sf), t.cloud(spark, sf), intents(spark, sf))
+    pairs = pairs.join(t.saved(spark, sf).select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
     tags = tag_scores(spark, sf, items).select("profile_id", "item_id", "tag")
-    facts = items.select("item_id", "popularity", F.coalesce("source", F.lit("unknown")).alias("from"), F.lower(F.coalesce(F.col("metadata")["author"], F.lit("unknown"))).alias("by"), F.coalesce(F.col("metadata")["depth"], F.lit("unknown")).alias("depth"), scoring.quality_of(F.col("metadata")["quality"]).alias("quality"))
-    prefs = preferences(spark, sf)
+    prefs = preferences(spark, sf).persist()  # a few rows a profile, looked up three times
     look = lambda kind, key, name: prefs.where(F.col("kind") == kind).select("profile_id", F.col("key").alias(key), F.col("score").cast("double").alias(name))
-    pairs = t.open_candidates(spark, sf).join(facts, "item_id").join(near, ["profile_id", "item_id"], "left").join(meant, ["profile_id", "item_id"], "left").join(tags, ["profile_id", "item_id"], "left")
-    pairs = pairs.join(look("source", "from", "s1"), ["profile_id", "from"], "left").join(look("author", "by", "s2"), ["profile_id", "by"], "left").join(look("facet", "depth", "s3"), ["profile_id", "depth"], "left")
+    pairs = pairs.join(tags, ["profile_id", "item_id"], "left").join(look("source", "from", "s1"), ["profile_id", "from"], "left").join(look("author", "by", "s2"), ["profile_id", "by"], "left").join(look("facet", "depth", "s3"), ["profile_id", "depth"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     out = pairs.select("profile_id", "item_id", "seq", zero("i2i").alias("i2i"), zero("tag").alias("tag"), zero("semantic").alias("semantic"), "popularity", (zero("s1") + zero("s2")).alias("source"), zero("s3").alias("facet"), "quality")
     return out.withColumn("explore", F.when((F.col("source") == 0) & (F.col("facet") == 0), 1.0).otherwise(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,64 @@ def _products(sent, top: int):
     return run
 
 
+def profile_scores(spark: SparkSession, items: DataFrame, profiles: list[int], cloud: DataFrame, intents: DataFrame, top: int = TOP, decay: float = DECAY, limit: int = CLOUD_BYTES) -> DataFrame:
+    """Every profile with every item: the item's columns (but its embedding) and i2i and semantic scores, 0
+    where an item or a profile has no vector. One pass over the items for each block of profiles whose
+    vectors fit ``limit``; the item columns are repeated without being copied."""
+    keep = [f for f in items.schema.fields if f.name != "embedding"]
+    shape = "profile_id bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", i2i double, semantic double"
+    sizes = {r[0]: r[1] for r in cloud.groupBy("profile_id").agg(F.sum(8 * F.size("vec") + 32)).collect()}
+    blocks: list[list[int]] = [[]]
+    room = limit
+    for p in profiles:
+        need = sizes.get(p, 0) + 1024
+        if need > room and blocks[-1]:
+            blocks.append([])
+            room = limit
+        blocks[-1].append(p)
+        room -= need
+    out = None
+    for block in blocks:
+        if not block:
+            continue
+        mine = cloud.where(F.col("profile_id").isin(block)).orderBy("profile_id", "pos").toArrow()
+        aims = {r["profile_id"]: np.array(r["vec"]) for r in intents.where(F.col("profile_id").isin(block)).select("profile_id", "vec").collect()}
+        owner = mine.column("profile_id").to_numpy()
+        matrix = np.vstack(mine.column("vec").to_pylist()) if len(owner) else np.zeros((0, 0))
+        age = np.exp(-decay * (mine.column("size").to_numpy() - 1 - mine.column("pos").to_numpy())) if len(owner) else np.zeros(0)
+        sent = spark.sparkContext.broadcast((block, owner, matrix, age, aims))
+        part = items.mapInArrow(_pairs(sent, [f.name for f in keep], top), shape)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], shape) if out is None else out
+
+
+def _pairs(sent, keep: list[str], top: int):
+    def run(batches):
+        profiles, owner, matrix, age, aims = sent.value
+        where = {p: np.flatnonzero(owner == p) for p in profiles}
+        for batch in batches:
+            for s in range(0, len(batch), 2048):
+                b = batch.slice(s, 2048)
+                vecs = b.column("embedding").to_pylist()
+                some = np.array([v is not None for v in vecs], dtype=bool)
+                x = np.array([v for v in vecs if v is not None], dtype=np.float64) if some.any() else np.zeros((0, matrix.shape[1]))
+                x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8) if len(x) else x
+                sims = x @ matrix.T if len(x) and len(matrix) else np.zeros((len(x), len(matrix)))
+                for p in profiles:
+                    i2i, meant = np.zeros(len(b)), np.zeros(len(b))
+                    at = where[p]
+                    if len(at) and len(x):
+                        near = sims[:, at]
+                        best = np.argsort(-np.round(near, 12), axis=1, kind="stable")[:, :top]
+                        w = age[at][best]
+                        i2i[some] = (np.take_along_axis(near, best, axis=1) * w).sum(axis=1) / w.sum(axis=1)
+                    if p in aims and len(x):
+                        meant[some] = np.maximum(0.0, x @ aims[p])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), p, dtype=np.int64)), *[b.column(c) for c in keep], pa.array(i2i), pa.array(meant)], names=["profile_id", *keep, "i2i", "semantic"])
+
+    return run
+
+
 def penalised(similar: Column, negative: Column, duplicate: Column, gamma: float = 1.5, most: float = 0.5, negative_over: float = 0.8, duplicate_over: float = 0.95) -> Column:
     """-999 beyond the duplicate threshold; minus the capped negative similarity beyond its own."""
     return F.when(duplicate > duplicate_over, F.lit(-999.0)).when(negative > negative_over, similar - F.least(F.lit(gamma) * negative, F.lit(most))).otherwise(similar)
@@ -122,6 +181,7 @@ def normalised(c: str) -> Column:
 def fused(scores: DataFrame, weights: dict[str, float], custom: dict[str, Column] | None = None) -> DataFrame:
     """Adds each weighted component's ``<name>_norm`` and ``final_score``; bounds are one small table a profile."""
     names = [c for c in weights if c in scores.columns]
+    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)  # read twice: for the bounds and for the rows
     joined = scores.join(bounds(scores, names), "profile_id")
     for c in names:
         joined = joined.withColumn(f"{c}_norm", normalised(c))
