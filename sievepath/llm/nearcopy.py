@@ -40,6 +40,7 @@ GRAM, WINDOW = 20, 10
 SHORT, LONG = 160, 100  # five-character runs: at most SHORT use exact prefixes, over LONG use winnowed ones
 BITS = 24
 CHUNK = 18  # log2 of the counters in one stored piece of the table
+ROWS = 20_000  # texts whose postings one task meets, about 30 MB
 BLOCK = 4096  # postings of one n-gram that meet in one group
 SKETCH = 128
 POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("runs", "<u4"), ("pos", "<u2"), ("n", "<u2"), ("s0", "<u8"), ("s1", "<u8")])
@@ -275,6 +276,7 @@ def near_pairs(spark: SparkSession, items: DataFrame, threshold: float = 0.7, ov
     for r in sums.toLocalIterator():  # 2**bits bytes in all, whatever the input
         table[r["chunk"] << CHUNK : (r["chunk"] + 1) << CHUNK] = np.frombuffer(r["levels"], dtype=np.uint8)
     levels = spark.sparkContext.broadcast(table)
+    parts = max(parts, survey.where("seq is not null").count() // ROWS)
     slices = parts * 8
     posted = texts.mapInArrow(_post(levels, bits, threshold, overlap, slices, block), "slice int, rows binary")
     met = posted.repartition(parts, "slice").mapInArrow(_meet(threshold, overlap), "doc_a bigint, doc_b bigint")

@@ -32,6 +32,7 @@ from ._store import Scratch
 TABLES, HASHES, WIDTH, PROBES = 7, 14, 1.2, 5
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8")])
 NEAREST_WALLS = 6
+ROWS = 50_000  # items whose keys and probes one task meets, about 35 MB
 
 
 def fit_rows(df: DataFrame, field: str, length: int, item: str = "item_id", seq: str = "seq") -> DataFrame:
@@ -165,6 +166,7 @@ def similar_pairs(spark: SparkSession, vectors: DataFrame, floor: float, tables:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = vectors.mapInArrow(_classes, "item_id string, seq bigint, doc bigint")
     members = store.write(every.groupBy("item_id").agg(F.min(F.struct("seq", "doc")).alias("x")).select("item_id", "x.seq", "x.doc"), "members")
+    parts = max(parts, members.count() // ROWS)
     met = vectors.mapInArrow(_emit(parts * 2, tables, hashes, width, probes), "slice int, homes binary, visits binary").repartition(parts, "slice").mapInArrow(_meet, "doc_a bigint, doc_b bigint")
     reps = members.groupBy("doc").agg(F.min("seq").alias("seq"))
     pairs = met.distinct().join(reps.select(F.col("doc").alias("doc_a"), F.col("seq").alias("seq_a")), "doc_a").join(reps.select(F.col("doc").alias("doc_b"), F.col("seq").alias("seq_b")), "doc_b")
