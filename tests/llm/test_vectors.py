@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sievepath.llm import vectors
 
@@ -24,6 +25,18 @@ def test_pairs_recall_and_cosines(spark):
     assert all(abs(got[p] - s[p]) < 1e-5 for p in got)
 
 
+@pytest.mark.parametrize("length", [64, 128])
+def test_recall_at_the_floor(spark, length):
+    rng = np.random.default_rng(length)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(rng.standard_normal((600, length))), rng.standard_normal((600, length))
+    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    both = np.concatenate([x, 0.9202 * x + np.sqrt(1 - 0.9202**2) * y])
+    df = frame(spark, [(f"{i:04}", i, [float(a) for a in v]) for i, v in enumerate(both)])
+    got = {(int(r[0]), int(r[1])) for r in vectors.similar_pairs(spark, vectors.fit_rows(df, "v", length), 0.92).collect()}
+    assert len(got & {(i, i + 600) for i in range(600)}) >= 0.9 * 600
+
+
 def test_unusable_vectors_and_empty_tables(spark):
     v = [1.0] + [0.0] * 3
     rows = [("a", 1, v), ("b", 2, [2.0, 0.0, 0.0, 0.0]), ("a", 3, [0.0, 1.0, 0.0, 0.0]), ("c", 4, None), ("d", 5, []), ("e", 6, [0.0] * 4), ("f", 7, [float("nan")] * 4), ("g", 8, [float("inf"), 0.0, 0.0, 0.0]), ("h", 9, [1.0, None, 0.0, 0.0]), (None, 10, v), ("i", 11, [1.0] * 5)]
