@@ -3,7 +3,7 @@
 Two texts match if their distinct five-character runs (see ``_text``) agree to at least
 ``threshold``. Candidates come from rare-first prefix filtering:
 
-1. every text becomes a set of prefix n-grams: winnowed 20-grams, and for short texts the
+1. every text becomes a set of prefix n-grams: winnowed 12-grams, and for short texts the
    five-character runs themselves, for which the prefix bound is exact;
 2. frequencies of all n-grams of all texts are counted into a table of fixed size (2**bits
    counters in log steps, so its broadcast is bounded); collisions only change the order;
@@ -14,9 +14,10 @@ Two texts match if their distinct five-character runs (see ``_text``) agree to a
 5. each surviving pair is verified once, exactly, on the whole texts.
 
 Equal folded texts are one class and meet nobody inside it; frequent n-grams are split
-into block pairs, so no group of postings is unbounded. Long texts rely on a shared run of
-29 characters and on prefixes for an n-gram overlap of ``overlap``: measured recall is in
-the README.
+into block pairs, so no group of postings is unbounded. Long texts rely on prefixes for an
+n-gram overlap of ``overlap``. Single edits spread evenly are the worst case: at an agreement of
+0.7 they lie 28 characters apart, so 16 of 28 12-grams are shared, 0.57 of all; the overlap of
+0.3 leaves room for the chance of winnowing. Measured recall by agreement is in the README.
 
 Defined cases: rows with null or blank content, a null id or a null seq are left out; a null title is
 empty; an id delivered again counts once, with its first row; texts under five letters or
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._store import Scratch
 
-GRAM, WINDOW = 20, 10
+GRAM, WINDOW = 12, 10
 SHORT, LONG = 160, 100  # five-character runs: at most SHORT use exact prefixes, over LONG use winnowed ones
 BITS = 24
 CHUNK = 18  # log2 of the counters in one stored piece of the table

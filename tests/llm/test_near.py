@@ -44,6 +44,27 @@ def test_near_pairs_equal_brute_force(spark, block):
     assert got == true_pairs(texts)
 
 
+def evenly_edited(seed, length, n=60, low=0.7, high=0.73):
+    """Pairs of random texts whose single-character edits are spread evenly, at an agreement of low to high."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        a = rng.integers(97, 123, length)
+        at = np.arange(rng.uniform(0, 20), length, rng.uniform(27, 34)).astype(int)
+        b = a.copy()
+        b[at] = 97 + (b[at] - 97 + 1 + rng.integers(0, 25, len(at))) % 26
+        pair = ["".join(map(chr, x)) for x in (a, b)]
+        if low <= tx.agreement(*tx.run_sets(pair)) < high:
+            out.append(pair)
+    return out
+
+
+def test_near_pairs_of_evenly_spread_edits(spark):
+    pairs = [p for length in (250, 600, 2000) for p in evenly_edited(length, length)]
+    items = spark.createDataFrame([(f"{k}{side}", 2 * k + s, p[s]) for k, p in enumerate(pairs) for s, side in enumerate("ab")], "item_id string, seq bigint, text string")
+    got = {tuple(r) for r in nearcopy.item_pairs(*nearcopy.near_pairs(spark, items, bits=20)).collect()}
+    assert len(got & {(f"{k}a", f"{k}b") for k in range(len(pairs))}) >= 0.98 * len(pairs)
+
+
 def test_near_edge_cases(spark):
     long = "word " * 60_000
     rows = [("a", 1, None, "x" * 50), ("b", 2, None, "x" * 50), ("a", 3, "t", "other words entirely, long enough to count"), ("c", 4, "t", None), ("d", 5, "t", "  　"), (None, 6, "t", "x" * 50), ("e", None, "t", "x" * 50), ("f", 7, "", "。！"), ("g", 8, None, long), ("h", 9, None, long + "!")]
