@@ -4,8 +4,9 @@ A record repeats an earlier one if both ids read as the same number or their con
 to at least ``threshold`` (see ``_text``). The state, in the shared folder, is a forest of
 sorted runs: ``trees`` signature permutations, each a sorted array of (key, order), where a
 key is the concatenation of ``DEPTH`` min-hash labels, so that a prefix of the key is a range.
-A batch is located by binary search in each run, the prefix is widened (labels dropped from
-the end) until the expected recall at the threshold reaches the target, its own rows join the
+A batch is located by binary search in each run. All keys are cut to the longest prefix whose
+expected recall at the threshold reaches the target (labels dropped from the end), so each range
+is one cut key in the order of the rows. Its own rows join the
 forest as a new run, and runs of like size are merged, so every key is rewritten O(log) times.
 Two more sorted arrays find equal ids and equal contents exactly; only the first record of
 each distinct content enters the trees. Candidates, earliest first, are verified on the whole
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._store import Scratch
 
-GRAM, WINDOW = 12, 6
+GRAM, WINDOW = 10, 8
 TREES, DEPTH, LABEL = 32, 3, 16
 PER_TASK = 4
-ALIKE = 0.5  # least share of equal labels expected at an agreement of 0.7, measured on edited texts
+ALIKE = 0.36  # least share of equal fingerprints at an agreement of 0.7 and more, measured on evenly edited texts
 RECALL = 0.985
 CAP = 64
 ROW_BITS = 44
@@ -267,9 +268,10 @@ def _near_task(root: str, state: dict, version: int, mask: int, cap: int):
                 pairs, more, log = [], [], []
                 for t in range(keys.shape[1]):
                     tree = f"tree{g * PER_TASK + t}"
-                    by = np.lexsort((ords, keys[:, t]))
-                    k, o = keys[by, t], ords[by]
-                    _search(_runs(state, files, tree), k, o, mask, cap, pairs, more, own=True)
+                    k = keys[:, t] & np.uint64(mask)
+                    by = np.lexsort((ords, k))
+                    k, o = k[by], ords[by]
+                    _search(_runs(state, files, tree), k, o, cap, pairs, more, own=True)
                     runs, dead = _insert(files, state.get(tree, []), tree, version, k, o)
                     log.append((tree, runs, dead))
                 yield _found(pairs, more)
@@ -278,22 +280,20 @@ def _near_task(root: str, state: dict, version: int, mask: int, cap: int):
     return run
 
 
-def _search(runs: list[_Run], keys, ords, mask: int, cap: int, pairs: list, more: list, own: bool) -> None:
-    low, high = keys & np.uint64(mask), keys | ~np.uint64(mask)
+def _search(runs: list[_Run], keys, ords, cap: int, pairs: list, more: list, own: bool) -> None:
+    """``keys`` are cut and sorted, equal ones by order, as in the runs: the last order seen bounds the rest."""
     for r in runs:
-        for q, o, m, last in _hits(r, low, high, ords, cap):
+        for q, o, m, last in _hits(r, keys, keys, ords, cap):
             pairs.append(np.stack([o, ords[q]], axis=1))
             more.append(np.stack([last, ords[m]], axis=1))
     if own and len(keys):
-        lo, hi = np.searchsorted(low, low, side="left"), np.searchsorted(low, low, side="right")
-        by = np.lexsort((ords, low))
-        sorted_ords = ords[by]
+        lo, hi = np.searchsorted(keys, keys, side="left"), np.searchsorted(keys, keys, side="right")
         q, at = _expand(lo, hi, cap)
-        o = sorted_ords[at]
+        o = ords[at]
         ok = o < ords[q]
         pairs.append(np.stack([o[ok], ords[q[ok]]], axis=1))
         m = np.flatnonzero(hi - lo > cap)
-        more.append(np.stack([sorted_ords[lo[m] + cap - 1], ords[m]], axis=1))
+        more.append(np.stack([ords[lo[m] + cap - 1], ords[m]], axis=1))
 
 
 def _found(pairs: list, more: list) -> pa.RecordBatch:
@@ -318,8 +318,9 @@ def _again_task(root: str, state: dict, groups: int, mask: int, cap: int):
                 mine = [i for i, x in enumerate(group) if x == g]
                 keys = np.frombuffer(b"".join(blob[i] for i in mine), "<u8").reshape(len(mine), -1)
                 for t in range(keys.shape[1]):
-                    by = np.lexsort((ords[mine], keys[:, t]))
-                    _search(_runs(state, files, f"tree{g * PER_TASK + t}"), keys[by, t], ords[mine][by], mask, cap, pairs, more, own=False)
+                    k = keys[:, t] & np.uint64(mask)
+                    by = np.lexsort((ords[mine], k))
+                    _search(_runs(state, files, f"tree{g * PER_TASK + t}"), k[by], ords[mine][by], cap, pairs, more, own=False)
             yield _found(pairs, more)
 
     return run

@@ -107,6 +107,15 @@ def test_replay_against_brute_force(spark, cap):
     assert found >= 40 and missed <= 0.05 * found
 
 
+@pytest.mark.parametrize("cap", [64, 1])
+def test_replay_of_evenly_spread_edits(spark, cap):
+    pairs = [p for length in (250, 600, 2000) for p in evenly_edited(length + 1, length)]
+    rows = [(2 * k + s + 1, s, None, p[s]) for k, p in enumerate(pairs) for s in range(2)]
+    df = spark.createDataFrame(rows, "row_id bigint, batch_no int, id string, content string")
+    got = {tuple(r) for r in history.replay(spark, df, cap=cap).collect()}
+    assert len(got & {(2 * k + 1, 2 * k + 2) for k in range(len(pairs))}) >= 0.97 * len(pairs)
+
+
 def test_replay_edge_cases(spark):
     shape = "row_id bigint, batch_no int, id string, content string"
     assert history.replay(spark, spark.createDataFrame([], shape)).count() == 0
