@@ -28,8 +28,30 @@ def test_stack():
 
 def test_excerpt_inside_its_content():
     c = "第一行。\n- 模拟考试与复习"
-    assert t._excerpt("第一行。 - 模拟", c, frozenset(), frozenset()) == "sentence"
-    assert t._excerpt("第一行。", c, frozenset(), frozenset()) is None
+    assert t._inside("第一行。 - 模拟", c) and not t._inside("第一行。", c) and not t._inside(c, c)
+
+
+@pytest.mark.parametrize("text", ["See (the note that never ends.", "《未完的书名。", "This is **bold and never closed.", "Text [1 see.", "他说“还没完。"])
+def test_the_automaton_decides_on_what_is_open(text):
+    """Ended by a terminator all the same: only the stack can tell."""
+    assert t.judge(text) is not None and t.read(text)[1] == "cut"
+
+
+@pytest.mark.parametrize("text", ["Go to my site: the end is no", "正文。\n- 列表里断在一个词的中", "正文。\n作者：李四说到一半的时候突", "正文。\n> 引用的话说到一半的时", "x < y and a <b"])
+def test_own_forms_do_not_excuse_cuts(text):
+    assert t.judge(text) == ("markup" if "<b" in text else "sentence")
+
+
+def test_baselines_by_source_and_copies(spark):
+    """A source that never ends its lines is not cut at each; copies of one cut do not become a closing."""
+    plain = [(i, "plain", f"消息{i}第一行没有句号\n消息{i}第二行也没有\n第三行{i}还是没有", None) for i in range(60)]
+    prose = [(100 + i, "prose", f"第{i}段说完了。\n又一段{i}说完了。\n最后一段{i}说完了。", None) for i in range(60)]
+    copies = [(200 + i, "prose", "第一段说完了。\n第二段说到", None) for i in range(50)]
+    lines = [(300 + i, "prose", f"第{i}段说完了。\n附记：第{i}份手稿", None) for i in range(30)]
+    df = spark.createDataFrame(plain + prose + copies + lines, "row_id bigint, source string, content string, excerpt string")
+    why = {r.row_id: r.why for r in t.judged(spark, df).collect()}
+    assert not any(why[i] for i in range(60)) and not any(why[100 + i] for i in range(60))
+    assert all(why[200 + i] for i in range(50)) and not any(why[300 + i] for i in range(30))
 
 
 def test_table_with_limits_and_closings(spark):
