@@ -84,6 +84,35 @@ def popular_recall(parts: DataFrame, ks: tuple[int, ...] = (10, 50)) -> DataFram
     return asked.groupBy("part").agg(*aggs)
 
 
+def masked_popularity(parts: DataFrame) -> DataFrame:
+    """Hits and reciprocal rank of the popular list when each user's own training clicks are taken out of it. The
+    masked rank of a target is its rank less the clicked items above it; a target clicked before keeps its place.
+    Clicked items are counted by blocks of 1024 ranks, so no user's list is gathered whole."""
+    train = parts.where("part = 'train'")
+    pop = _ranked(popularity(train))
+    bucket = lambda c: F.floor(F.col(c) / 1024)
+    seen = train.select("user_id", "item").distinct().join(pop, "item").select("user_id", F.col("rank").alias("seen_rank"), bucket("rank").alias("b"))
+    asked = parts.where("part <> 'train'").join(pop, "item", "left").select("part", "user_id", "rank", bucket("rank").alias("b"))
+    near = seen.groupBy("user_id", "b").agg(F.sort_array(F.collect_list("seen_rank")).alias("own"))  # at most 1024, a bucket has no more ranks
+    sizes = near.select("user_id", "b", F.size("own").alias("n")).unionByName(asked.where("b is not null").select("user_id", "b", F.lit(0).alias("n")).distinct()).groupBy("user_id", "b").agg(F.sum("n").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("user_id", "b", "before")
+    asked = asked.join(near, ["user_id", "b"], "left").join(before, ["user_id", "b"], "left")
+    above = F.when(F.col("own").isNotNull(), F.size(F.filter("own", lambda r: r < F.col("rank")))).otherwise(0)
+    rank = F.col("rank") - above - F.coalesce("before", F.lit(0))
+    rows = asked.select("part", rank.alias("rank"))
+    hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
+    return rows.groupBy("part").agg(F.count("*").alias("n_clicks"), hit(10).alias("hit_10"), hit(50).alias("recall_50"), hit(100).alias("recall_100"), F.round(F.avg(F.when(F.col("rank") <= 50, 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_50"))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """(item, rank) by count, then item, without one window over all: places inside a count, behind those of higher
+    counts. Different counts are few."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))).select("n", F.coalesce("before", F.lit(0)).alias("before"))
+    inside = counts.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("item")))
+    return inside.join(before, "n").select("item", (F.col("place") + F.col("before")).alias("rank"))
+
+
 def list_metrics(samples: DataFrame, k: int) -> DataFrame:
     """``samples``: (target, ranked array). Mean recall and NDCG at ``k``."""
     place = F.array_position(F.slice("ranked", 1, k), F.col("target"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, ranking_queries
+from . import data_queries, ranking_queries, service_queries
 
-_PARTS = [ranking_queries, data_queries]
+_PARTS = [ranking_queries, data_queries, service_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
