@@ -48,9 +48,19 @@ def split(clicked: DataFrame, ends: tuple[int, int]) -> DataFrame:
 
 
 def histories(clicked: DataFrame, last: int = 20) -> DataFrame:
-    """Each click with the up to ``last`` items its user clicked before, oldest first."""
-    w = Window.partitionBy("user_id").orderBy("clicked_at", "shown_at", "item").rowsBetween(-last, -1)
-    return clicked.withColumn("history", F.collect_list("item").over(w))
+    """Each click with the up to ``last`` items its user clicked before, oldest first. A window sees one day of one
+    user; what earlier days leave, at most ``last`` items a day, is carried over, so no user is one task."""
+    rows = clicked.withColumn("_day", F.floor(F.col("clicked_at") / 86400))
+    order = ["clicked_at", "shown_at", "item"]
+    day = Window.partitionBy("user_id", "_day")
+    from_end = F.row_number().over(day.orderBy(*[F.desc(c) for c in order]))
+    tail = rows.withColumn("_n", from_end).where(F.col("_n") <= last).groupBy("user_id", "_day").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_tail"))
+    before = Window.partitionBy("user_id").orderBy("_day").rowsBetween(-last, -1)  # each day has one click at least
+    left = F.flatten(F.collect_list(F.transform("_tail", lambda x: x["item"])).over(before))
+    carried = tail.select("user_id", "_day", left.alias("_carried"))
+    seen = rows.withColumn("_seen", F.collect_list("item").over(day.orderBy(*order).rowsBetween(-last, -1))).join(carried, ["user_id", "_day"])
+    whole = F.concat("_carried", "_seen")
+    return seen.withColumn("history", F.slice(whole, F.greatest(F.size(whole) - last + 1, F.lit(1)), F.lit(last))).drop("_day", "_seen", "_carried")
 
 
 def hard_negatives(shown: DataFrame, clicked: DataFrame, window: int = 600) -> DataFrame:

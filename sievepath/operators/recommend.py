@@ -180,7 +180,7 @@ def with_penalty(spark: SparkSession, sf: str) -> DataFrame:
     cloud = t.cloud(spark, sf)
     bad = tag_scores(spark, sf, t.candidates(spark, sf)).where("misses > 0").select("profile_id", "item_id")
     w = Window.partitionBy("profile_id")
-    turned = bad.join(items.select("item_id", "seq", "embedding"), "item_id").withColumn("n", F.row_number().over(w.orderBy("seq"))).where(F.col("n") <= t.MOST_SAVED)
+    turned = bad.join(items.select("item_id", "seq", "embedding"), "item_id").withColumn("n", F.row_number().over(w.orderBy("seq")))
     negatives = turned.select("profile_id", (F.col("n") - 1).cast("bigint").alias("pos"), F.count("*").over(w).alias("size"), vector.unit(F.col("embedding")).alias("vec"))
     positive = scoring.cloud_similarity(spark, items, cloud)
     mean3 = scoring.cloud_similarity(spark, items, negatives, top=3, decay=0.0).withColumnRenamed("i2i", "negative")

@@ -76,23 +76,46 @@ def flat(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*out)
 
 
-def tree(nodes: DataFrame, depth: int = 64) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage in the shared checkpoint folder; without one (tests) the rows are kept in memory."""
+    held = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if held else df.persist()
+
+
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds place, the rank over all rows, without one task for all: ranges are sorted apart, and the sizes of the
+    ranges before, one number a task, are added."""
+    ranged = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, seen = [], 0
+    for r in sizes:
+        starts.append((r["_part"], seen))
+        seen += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _before bigint")
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("place", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_m", "_part", "_before")
+
+
+def tree(nodes: DataFrame) -> DataFrame:
     """``nodes``: (id, parent, score, posted). Adds depth and path, by which depth-first order sorts: siblings
-    by score and time, best first. Nodes whose parent is missing are roots. Level by level, as many joins as
-    the tree is deep, at most ``depth``."""
-    ids = nodes.select(F.col("id").alias("parent"))
-    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("score"), F.desc("posted"), "id"))
+    by score and time, best first. Nodes whose parent is missing are roots. Level by level until one is empty, each
+    written; nodes that no root reaches (a cycle) are an error."""
+    ids = nodes.select(F.col("id").alias("parent")).distinct()
+    order = [F.desc("score"), F.desc("posted"), F.asc("id")]
     roots = nodes.join(ids, "parent", "left_anti").withColumn("parent", F.lit(None).cast(nodes.schema["parent"].dataType))
-    rest = nodes.join(ids, "parent", "left_semi").withColumn("place", place)
-    root_place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("posted"), "id"))
-    level = roots.withColumn("place", root_place).select("id", "parent", F.lit(0).alias("depth"), F.format_string("%08d", "place").alias("path"))
-    out = level
-    for d in range(1, depth):
+    rest = _cut(nodes.join(ids, "parent", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy(*order))))
+    level = _cut(_placed(roots, *order).select("id", "parent", F.lit(0).alias("depth"), F.format_string("%08d", "place").alias("path")))
+    out, depth, reached = level, 0, level.count()
+    while True:
+        depth += 1
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("up"))
-        level = rest.join(up, "parent").select("id", "parent", F.lit(d).alias("depth"), F.concat_ws("/", "up", F.format_string("%08d", "place")).alias("path"))
-        if level.isEmpty():
+        level = _cut(rest.join(up, "parent").select("id", "parent", F.lit(depth).alias("depth"), F.concat_ws("/", "up", F.format_string("%08d", "place")).alias("path")))
+        n = level.count()
+        if not n:
             break
-        out = out.unionByName(level)
+        out, reached = out.unionByName(level), reached + n
+    if reached < nodes.count():
+        raise ValueError("some nodes are their own ancestors")
     return out
 
 

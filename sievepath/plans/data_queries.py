@@ -35,7 +35,10 @@ def query(name: str, sql: str | None = None):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A folder of the session's shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
     if not base:
         base = tempfile.mkdtemp(prefix="sievepath-")
         atexit.register(shutil.rmtree, base, True)
@@ -400,20 +403,13 @@ def _(spark, sf):
 @query("stream_upsert", _BEST)
 def _(spark, sf):
     folder = _folder(spark, "upsert")
-    path = f"{sf}/zhihu_content.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_as_stream(spark, path, folder))
-    out = fs.run_upsert(spark, records.versions(stream), folder)
+    versions = records.versions(t.read(spark, sf, "zhihu_content"))
+    versions.repartitionByRange(4, "batch_no", "row_id").write.parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    out = fs.run_upsert(spark, stream, folder)
     return out.select("key", "row_id", "priority", F.col("length").cast("bigint").alias("length"))
 
 
-def _as_stream(spark: SparkSession, path: str, folder: str) -> str:
-    """A folder a stream can watch: the table's own if it is one, else a pattern that names its single file."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs_ = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return path if fs_.getFileStatus(p).isDirectory() else path.replace(".parquet", "[.]parquet")
-
-
 @query("stream_feedback_prefs", f"WITH {b.PREFS} SELECT * FROM prefs WHERE kind <> 'facet'")
 def _(spark, sf):
     folder = _folder(spark, "prefs")

@@ -77,7 +77,7 @@ def _(spark, sf):
 
 _PENALTY = f"""WITH {b.CAND}, {b.SAVED}, {b.CLOUD}, {b.OPEN}, {b.PTAGS}, {b.near('near3', 'cloud', 3, 0.05)}, {b.near('copy', 'cloud', 1, 0.05)},
 turned AS (SELECT g.profile_id, row_number() OVER (PARTITION BY g.profile_id ORDER BY x.seq) AS n, x.u FROM tagged g JOIN units x USING (item_id) WHERE g.misses > 0),
-neg AS (SELECT profile_id, n - 1 AS pos, 0 AS size, u AS vec FROM turned WHERE n <= 50), {b.near('neg3', 'neg', 3, 0.0)}
+neg AS (SELECT profile_id, n - 1 AS pos, 0 AS size, u AS vec FROM turned), {b.near('neg3', 'neg', 3, 0.0)}
 SELECT o.profile_id, o.item_id, round(CASE WHEN coalesce(d.score, -1) > 0.95 THEN -999.0 WHEN coalesce(m.score, -1) > 0.8 THEN p.score - least(1.5 * m.score, 0.5) ELSE p.score END, 6)::DOUBLE AS i2i
 FROM open o JOIN near3 p ON p.profile_id = o.profile_id AND p.item_id = o.item_id LEFT JOIN neg3 m ON m.profile_id = o.profile_id AND m.item_id = o.item_id LEFT JOIN copy d ON d.profile_id = o.profile_id AND d.item_id = o.item_id"""
 

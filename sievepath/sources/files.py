@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,12 +45,12 @@ def platform_items(spark: SparkSession, path: str) -> DataFrame:
     """Crawled items with defaults: empty content falls back to the excerpt, the author is flattened."""
     rows = _sound(json_array(spark, path, PLATFORM), path)
     body = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.coalesce("excerpt", F.lit("")))
-    extra = {"source": F.lit("platform"), "url": F.coalesce("url", F.lit("")), "author": F.coalesce("author.name", F.lit("")), "content_type": F.coalesce("content_type", F.lit("")), "voteup_count": F.coalesce("voteup_count", F.lit(0)).cast("string"), "comment_count": F.coalesce("comment_count", F.lit(0)).cast("string")}
+    extra = {"source": F.lit("platform"), "url": F.coalesce("url", F.lit("")), "author": F.coalesce("author.name", F.lit("")), "author_name": F.coalesce("author.name", F.lit("")), "author_id": F.coalesce("author.id", F.lit("")), "content_type": F.coalesce("content_type", F.lit("")), "voteup_count": F.coalesce("voteup_count", F.lit(0)).cast("string"), "comment_count": F.coalesce("comment_count", F.lit(0)).cast("string")}
     given = F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     metadata = given
     for k, v in extra.items():
         metadata = F.when(F.map_contains_key(metadata, k), metadata).otherwise(F.map_concat(metadata, F.create_map(F.lit(k), v)))
-    return rows.select(F.coalesce("id", F.lit("")).alias("id"), F.coalesce("title", F.lit("")).alias("title"), body.alias("content"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), metadata.alias("metadata"))
+    return rows.select(F.coalesce("id", F.lit("")).alias("id"), F.coalesce("title", F.lit("")).alias("title"), body.alias("content"), F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), text.strip), lambda t: t != "").alias("tags"), metadata.alias("metadata"), F.coalesce("url", F.lit("")).alias("url"))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"generic": generic_items, "platform": platform_items}
@@ -62,14 +63,15 @@ def items(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, folder: str, most: int = 2000) -> DataFrame:
-    """Markdown files below a folder: the path's digest as id, title from the front matter or the file's
+    """Markdown files below a folder: the digest of the path inside it as id, title from the front matter or the file's
     name, the body's first ``most`` characters, tags as a list."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("path"))
     block = text.front_matter(F.col("value"))
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     title = F.coalesce(F.when(text.front_value(block, "title") != "", text.front_value(block, "title")), stem)
     body = F.substring(text.strip(F.regexp_replace("value", r"(?s)^---[ \t\r]*\n.*?\n---[ \t\r]*(?:\n|$)", "")), 1, most)
-    return rows.select(F.md5("path").alias("id"), title.alias("title"), F.when(body != "", body).otherwise(title).alias("content"), F.coalesce(text.front_list(block, "tags"), F.array().cast("array<string>")).alias("tags"), F.lit(1.0).alias("popularity"), F.col("path"))
+    inside = F.element_at(F.split("path", "/" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/", 2), -1)
+    return rows.select(F.md5(inside).alias("id"), title.alias("title"), F.when(body != "", body).otherwise(title).alias("content"), F.coalesce(text.front_list(block, "tags"), F.array().cast("array<string>")).alias("tags"), F.lit(1.0).alias("popularity"), F.col("path"))
 
 
 def feed(spark: SparkSession, path: str, most: int = 3) -> DataFrame:

@@ -18,10 +18,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """One row an item: the values delivered last, at the place of the first delivery."""
     rows = read(spark, sf, "candidate_item").withColumn("item_id", text.strip(F.col("item_id"))).where("item_id <> ''")
-    w = Window.partitionBy("item_id")
-    last = rows.withColumn("first_seq", F.min("seq").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("seq"))))
+    # only ids and places are grouped, and only ids delivered again (few) meet the rows with their texts and vectors
+    again = rows.groupBy("item_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).where("first_seq < last_seq")
+    last = rows.join(again, "item_id", "left").where("last_seq is null or seq = last_seq")
     usable = F.when(vector.is_usable(F.col("embedding"), LENGTH), F.col("embedding"))
-    return last.where("rn = 1").select("item_id", F.col("first_seq").alias("seq"), "title", "content", usable.alias("embedding"), "tags", "source", "popularity", "metadata")
+    return last.select("item_id", F.coalesce("first_seq", "seq").alias("seq"), "title", "content", usable.alias("embedding"), "tags", "source", "popularity", "metadata")
 
 
 def saved(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,19 +23,30 @@ def window_counts(events: DataFrame, time: str, width: str, delay: str, by: str)
     return events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"))
 
 
+MERGE = 8
+
+
 def run_upsert(spark: SparkSession, source: DataFrame, folder: str) -> DataFrame:
-    """Feeds a stream of record versions into an aggregate table, batch after batch, and returns it. Each batch
-    writes a new version of the table, so a batch that runs again after a failure has the same result."""
+    """Feeds a stream of record versions into an aggregate table, batch after batch, and returns it. A batch writes
+    the best versions it has itself; every MERGE batches they are merged into a new base, so the work of a batch
+    follows the batch. Files are named by the batch, so one that runs again after a failure has the same result."""
+
+    def parts(number: int) -> list[str]:
+        base = number // MERGE * MERGE  # the last merge before ``number``
+        return ([f"{folder}/base{base}"] if base else []) + [f"{folder}/delta{k}" for k in range(base, number)]
 
     def accept(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else None
-        records.upsert(old, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        records.upsert(None, batch).write.mode("overwrite").parquet(f"{folder}/delta{number}")
+        if (number + 1) % MERGE == 0:
+            held = [f"{folder}/base{number + 1 - MERGE}"] if number + 1 > MERGE else []
+            held += [f"{folder}/delta{k}" for k in range(number + 1 - MERGE, number + 1)]
+            records.upsert(None, spark.read.parquet(*held)).write.mode("overwrite").parquet(f"{folder}/base{number + 1}")
 
     q = source.writeStream.foreachBatch(accept).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.lastProgress is None:
         return spark.createDataFrame([], source.schema)
-    return spark.read.parquet(f"{folder}/v{q.lastProgress['batchId']}")
+    return records.upsert(None, spark.read.parquet(*parts(q.lastProgress["batchId"] + 1)))
 
 
 def run_preferences(spark: SparkSession, events: DataFrame, folder: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -88,6 +89,22 @@ def test_tree_orphans_become_roots(spark):
     assert [r.id for r in records.tree(nodes).orderBy("path").collect()] == ["d", "a", "c", "b"]
 
 
+def test_tree_of_any_depth_and_cycles(spark):
+    shape = "id string, parent string, score double, posted bigint"
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None, 0.0, 0) for i in range(70)], shape)
+    assert records.tree(chain).agg(F.max("depth")).first()[0] == 69
+    with pytest.raises(ValueError):
+        records.tree(spark.createDataFrame([("a", "b", 0.0, 0), ("b", "a", 0.0, 0), ("c", None, 0.0, 0)], shape))
+
+
+def test_note_ids_follow_the_inner_path(spark, tmp_path):
+    for top in ("x", "y"):
+        (tmp_path / top / "vault" / "sub").mkdir(parents=True)
+        (tmp_path / top / "vault" / "sub" / "n.md").write_text("hello")
+    one, two = (files.notes(spark, str(tmp_path / top / "vault")).first().id for top in ("x", "y"))
+    assert one == two == hashlib.md5(b"sub/n.md").hexdigest()
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "A" * 1600 + "B" * 1600), (2, ""), (3, None), (4, "x")], "id bigint, body string")
     got = records.chunks(df, "id", "body").collect()
