@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 from ._tokens import VOCABULARY, with_counts
 
-BLOCKS = 2000
+BLOCKS = 2000  # at least, and four for each output shard
+SHARD_TOKENS = 64_000_000
 SOURCES = 1000
 SEED = 17
 
@@ -55,19 +56,22 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
 class Mix:
     """A planned mix: ``uses`` of each document, ``shares`` of each source, ``order`` of the output."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, target: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, size: int | None = None, shards: int = 64, seed: int = SEED):
-        self.spark, self.shards, self.seed = spark, shards, seed
+    def __init__(self, spark: SparkSession, documents: DataFrame, target: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, size: int | None = None, shards: int | None = None, seed: int = SEED):
+        self.spark, self.seed = spark, seed
         store = Scratch(spark, "mixing")
         rows = target.groupBy(source_key(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(SOURCES + 1).collect()
         if len(rows) > SOURCES:
             raise ValueError(f"more than {SOURCES} sources in the target")
         self.target = sorted((r["source"], float(r["share"] or 0), int(r["cap"] or 0)) for r in rows if r["source"])
         named = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), F.col(text).alias("text"))
-        block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
-        self.documents = store.write(with_counts(named, "text", vocabulary).withColumn("block", block), "documents")
+        counted = store.write(with_counts(named, "text", vocabulary).withColumn("row_no", F.monotonically_increasing_id()), "documents")
+        tokens = counted.agg(F.sum("n_tokens")).first()[0] or 0
+        self.shards = shards or max(8, -(-tokens // SHARD_TOKENS))  # the shards grow in number, not in size
+        block = F.pmod(F.xxhash64(F.coalesce("doc_id", "row_no"), F.lit(seed)), F.lit(max(BLOCKS, 4 * self.shards))).cast("int")
+        self.documents = counted.withColumn("block", block)
         listed = [s for s, share, cap in self.target if share > 0 and cap > 0]
         sums = self.documents.where(F.col("source").isin(listed)).groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect() if listed else []
-        self._plan(sums, size)  # at most sources x BLOCKS rows, whatever the input
+        self._plan(sums, size)  # sources x blocks rows
 
     def _plan(self, sums: list, size: int | None) -> None:
         blocks: dict[str, list[tuple[int, int]]] = {}
@@ -125,5 +129,5 @@ class Mix:
     def order(self) -> DataFrame:
         """(shard, place, doc_id, use_no): the mixed sequence of each output shard."""
         rows = self.documents.join(F.broadcast(self._drawn()), ["source", "block"])
-        local = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "use_no", F.lit(self.seed)), "doc_id", "use_no")
+        local = Window.partitionBy("shard").orderBy(F.xxhash64("row_no", "use_no", F.lit(self.seed)), "row_no", "use_no")
         return rows.select("shard", F.row_number().over(local).alias("place"), "doc_id", "use_no")

@@ -24,7 +24,7 @@ from ._tokens import VOCABULARY, with_counts
 SHARD = 8192
 LOOSE = 0.01
 KINDS = 1000
-_SHAPE = "container_kind string, capacity bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, container_id string, gap bigint"
+_SHAPE = "container_kind string, capacity bigint, doc_id bigint, row_no bigint, piece_no int, start_token bigint, n_tokens bigint, container_id string, gap bigint"
 
 
 def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def _pack(level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kind, shard = key
         capacity = int(rows["capacity"].iloc[0])
-        rows = rows.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["n_tokens", "row_no"], ascending=[False, True], kind="stable")
         where, gaps = place(rows["n_tokens"].to_numpy(), capacity)
         return rows.drop(columns="shard").assign(container_id=[f"{level}-{shard}-{c}" for c in where.tolist()], gap=gaps[where] if len(rows) else 0)
 
@@ -81,28 +81,29 @@ def _pack(level: int):
 def pack(spark: SparkSession, documents: DataFrame, containers: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
     """(container_kind, doc_id, piece_no, start_token, n_tokens, container_id) of every document and kind."""
     store = Scratch(spark, "packing")
-    sizes = store.write(with_counts(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", vocabulary), "sizes")
+    counted = with_counts(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", vocabulary)
+    sizes = store.write(counted.withColumn("row_no", F.monotonically_increasing_id()), "sizes")  # fixed once written, tells repeated ids apart
     kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(KINDS + 1).collect() if r[1] is not None and r[1] > 0]
     if len(kinds) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of containers")
     if not kinds:
-        return spark.createDataFrame([], _SHAPE).drop("capacity", "gap")
+        return spark.createDataFrame([], _SHAPE).drop("capacity", "gap", "row_no")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in kinds]))
-    rows = sizes.select("doc_id", "n_tokens", each.alias("k")).select("doc_id", F.col("n_tokens").alias("all"), "k.*")
+    rows = sizes.select("doc_id", "row_no", "n_tokens", each.alias("k")).select("doc_id", "row_no", F.col("n_tokens").alias("all"), "k.*")
     last = F.greatest(F.ceil(F.col("all") / F.col("capacity")).cast("int") - 1, F.lit(0))
     piece = F.explode(F.sequence(F.lit(0), last)).alias("piece_no")
-    pieces = rows.select("container_kind", "capacity", "doc_id", "all", piece).withColumn("start_token", F.col("piece_no") * F.col("capacity"))
-    pieces = pieces.withColumn("n_tokens", F.least(F.col("capacity"), F.col("all") - F.col("start_token"))).select("container_kind", "capacity", "doc_id", "piece_no", "start_token", "n_tokens")
-    whole = pieces.where("n_tokens = capacity").withColumn("container_id", F.concat_ws("-", F.lit("w"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id())).withColumn("gap", F.lit(0).cast("bigint"))
+    pieces = rows.select("container_kind", "capacity", "doc_id", "row_no", "all", piece).withColumn("start_token", F.col("piece_no") * F.col("capacity"))
+    pieces = pieces.withColumn("n_tokens", F.least(F.col("capacity"), F.col("all") - F.col("start_token"))).select("container_kind", "capacity", "doc_id", "row_no", "piece_no", "start_token", "n_tokens")
+    whole = pieces.where("n_tokens = capacity").withColumn("container_id", F.concat_ws("-", F.lit("w"), F.col("row_no"), F.col("piece_no"))).withColumn("gap", F.lit(0).cast("bigint"))
     done, todo, level, left = whole, pieces.where("n_tokens < capacity"), 0, sizes.count()
     while True:
         shards = max(1, -(-left // shard))
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(shards)).cast("int"))
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("row_no", F.lit(level)), F.lit(shards)).cast("int"))
         packed = store.write(dealt.groupBy("container_kind", "shard").applyInPandas(_pack(level), _SHAPE), f"level{level}")
         loose = packed.where(F.col("gap") > F.col("capacity") * LOOSE)
         n = loose.count() if shards > 1 else 0
         again = -(-n // (shard * len(kinds)))
-        if shards == 1 or n == 0 or again >= shards or level >= 5:
+        if shards == 1 or n == 0 or again >= shards:
             done = done.unionByName(packed)
             break
         done = done.unionByName(packed.where(F.col("gap") <= F.col("capacity") * LOOSE))
