@@ -5,8 +5,9 @@ Two texts match if their distinct five-character runs (see ``_text``) agree to a
 
 1. every text becomes a set of prefix n-grams: winnowed 12-grams, and for short texts the
    five-character runs themselves, for which the prefix bound is exact;
-2. frequencies of all n-grams of all texts are counted into a table of fixed size (2**bits
-   counters in log steps, so its broadcast is bounded); collisions only change the order;
+2. frequencies of all n-grams of all texts are counted into a table of 2**bits counters in log
+   steps, as many as the texts have n-grams up to the greatest table (64 MB); beyond it collisions
+   blur the order and keep single n-grams, which costs time but loses no pair;
 3. n-grams are ordered rare first, the prefix of each text is kept, n-grams that occur once
    are dropped (nobody can share them), and postings meet on their n-gram;
 4. length, positional and suffix filters act inside the n-gram's group. The suffix filter
@@ -39,11 +40,12 @@ from ._store import Scratch
 
 GRAM, WINDOW = 12, 10
 SHORT, LONG = 160, 100  # five-character runs: at most SHORT use exact prefixes, over LONG use winnowed ones
-BITS = 24
+BITS = (20, 26)  # log2 of the least and the most counters; between them, one for every four characters
 CHUNK = 18  # log2 of the counters in one stored piece of the table
 ROWS = 20_000  # texts whose postings one task meets, about 30 MB
 BLOCK = 4096  # postings of one n-gram that meet in one group
 SKETCH = 128
+CLASS_BLOCK = 1000  # items of one class that meet in one group
 POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("runs", "<u4"), ("pos", "<u2"), ("n", "<u2"), ("s0", "<u8"), ("s1", "<u8")])
 
 
@@ -265,12 +267,15 @@ def _verify(threshold: float):
     return run
 
 
-def near_pairs(spark: SparkSession, items: DataFrame, threshold: float = 0.7, overlap: float = 0.3, bits: int = BITS, block: int = BLOCK, store: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def near_pairs(spark: SparkSession, items: DataFrame, threshold: float = 0.7, overlap: float = 0.3, bits: int | None = None, block: int = BLOCK, store: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """``items`` has (item_id string, seq bigint, text string). Returns (members, pairs): the class
     ``doc`` of every item, and the matching pairs of classes (doc_a < doc_b, agreement)."""
     store = store or Scratch(spark, "nearcopy")
     texts = items.select("seq", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if bits is None:
+        chars = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+        bits = min(max(int(np.ceil(np.log2(chars / 4 + 1))), BITS[0]), BITS[1])
     survey = store.write(texts.mapInArrow(_survey(bits), "seq bigint, doc bigint, chunk int, slots binary, counts binary"), "survey")
     sums = survey.where("chunk is not null").select("chunk", "slots", "counts").repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk int, levels binary")
     table = np.zeros(1 << bits, dtype=np.uint8)
@@ -303,11 +308,15 @@ def usable_items(df: DataFrame, item: str = "item_id", seq: str = "seq", title:
 
 
 def item_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of items: those of matching classes and those inside one class."""
+    """All pairs of items: those of matching classes and those inside one class. Where copies are many, ``members``
+    and ``pairs`` say the same without spelling it out, as does ``groups``."""
     a = members.select(F.col("doc").alias("doc_a"), F.col("item_id").alias("x"))
     b = members.select(F.col("doc").alias("doc_b"), F.col("item_id").alias("y"))
-    shared = members.withColumn("n", F.count("*").over(Window.partitionBy("doc"))).where("n > 1")
-    same = shared.select("doc", F.col("item_id").alias("x")).join(shared.select("doc", F.col("item_id").alias("y")), "doc").where("x < y").select("x", "y")
+    sizes = members.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / CLASS_BLOCK).cast("int")  # a large class meets itself block by block
+    shared = members.join(sizes, "doc").select("doc", "item_id", blocks.alias("blocks"), F.pmod(F.xxhash64("item_id"), blocks).cast("int").alias("own"))
+    left = shared.select("doc", F.col("item_id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    same = left.join(shared.select("doc", "own", F.col("item_id").alias("y")), ["doc", "own"]).where("x < y").select("x", "y")
     across = pairs.select("doc_a", "doc_b").join(a, "doc_a").join(b, "doc_b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return same.unionByName(across).select(F.col("x").alias("item_id_a"), F.col("y").alias("item_id_b"))
 
