@@ -30,6 +30,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> Scratch:
+        """The stated folder itself, for what later runs take up."""
+        store = cls.__new__(cls)
+        store.spark, store.root = spark, folder if ":/" in folder else f"file://{folder}"
+        return store
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -6,8 +6,14 @@ sorted runs: ``trees`` signature permutations, each a sorted array of (key, orde
 key is the concatenation of ``DEPTH`` min-hash labels, so that a prefix of the key is a range.
 A batch is located by binary search in each run. All keys are cut to the longest prefix whose
 expected recall at the threshold reaches the target (labels dropped from the end), so each range
-is one cut key in the order of the rows. Its own rows join the
-forest as a new run, and runs of like size are merged, so every key is rewritten O(log) times.
+is one cut key in the order of the rows. (The earliest repeat is asked for, so a row that a longer
+prefix has settled would still have to look under the shorter one; one prefix for all rows is
+therefore the whole search.) Its own rows join the forest as a new run, and runs of like size are
+merged, so every key is rewritten O(log) times. Each tree is split into ``parts`` by key, one task
+and one set of runs each, so the tasks grow in number with the rows and not in size.
+
+The forest lies in a stated folder with a manifest: ``HashForest.open`` takes it up in a new session,
+and ``accept_batch`` signs, searches, verifies and merges one batch against it alone.
 Two more sorted arrays find equal ids and equal contents exactly; only the first record of
 each distinct content enters the trees. Candidates, earliest first, are verified on the whole
 texts; a range longer than ``cap`` is continued only for records that its first part has not
@@ -24,6 +30,7 @@ row id are left out and a null batch is batch 0; (batch, row id) is unique; a ro
 from __future__ import annotations
 
 import ast
+import json
 import os
 import re
 import unicodedata
@@ -48,6 +55,7 @@ ALIKE = 0.36  # least share of equal fingerprints at an agreement of 0.7 and mor
 RECALL = 0.985
 CAP = 64
 ROW_BITS = 44
+PART_ROWS = 4_000_000  # rows for each part of a tree
 _NUMBER = re.compile(r"\d+\Z")
 
 
@@ -119,12 +127,20 @@ class _Files:
     def __init__(self, uri: str):
         if uri.startswith("file:"):
             uri = "file:///" + uri[5:].lstrip("/")
+        if uri.startswith(("s3a://", "s3n://")):
+            uri = "s3" + uri[3:]
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
 
-    def read_table(self, name: str, columns: list[str]) -> pa.Table:
+    def batches(self, name: str, columns: list[str]):
+        """The record batches of a table's files, so a reader keeps only what it wants."""
         found = [f.path for f in self.fs.get_file_info(pafs.FileSelector(f"{self.root}/{name}", recursive=True, allow_not_found=True)) if f.path.endswith(".parquet") and f.size]
-        parts = [pq.read_table(p, columns=columns, filesystem=self.fs, partitioning=None) for p in sorted(found)]
-        return pa.concat_tables(parts) if parts else pa.table({c: [] for c in columns})
+        for p in sorted(found):
+            with self.fs.open_input_file(p) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=1 << 16, columns=columns)
+
+    def read(self, name: str) -> bytes:
+        with self.fs.open_input_stream(f"{self.root}/{name}") as f:
+            return f.read()
 
     def write(self, name: str, data: bytes) -> None:
         path = f"{self.root}/{name}"
@@ -224,16 +240,30 @@ def _insert(files: _Files, runs: list[list], tree: str, version: int, keys: np.n
     return runs, dead
 
 
-def _exact_task(root: str, state: dict, version: int):
-    """Earliest equal id and equal text of each row of a batch, and the two sorted arrays renewed."""
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
+
+
+def _joined(pieces: list, kind: type) -> np.ndarray:
+    return np.concatenate(pieces) if pieces else np.zeros(0, dtype=kind)
+
+
+def _exact_task(root: str, state: dict, version: int, parts: int):
+    """Earliest equal id and equal text of each row of a batch, and the two sorted arrays renewed, part by part."""
 
     def run(batches):
         files = _Files(root)
         for batch in batches:
-            for kind in batch.column("kind").to_pylist():
-                table = files.read_table(f"signed/batch_no={version}", ["ord", kind]).drop_null()
-                keys = table.column(kind).to_numpy().view(np.uint64)
-                ords = table.column("ord").to_numpy()
+            for task in batch.column("task").to_pylist():
+                kind, part = task.split(".")
+                found_k, found_o = [], []
+                for b in files.batches(f"signed/batch_no={version}", ["ord", kind]):
+                    b = b.filter(b.column(kind).is_valid())
+                    k, o = b.column(kind).to_numpy(zero_copy_only=False).view(np.uint64), b.column("ord").to_numpy(zero_copy_only=False)
+                    mine = _part(k, parts) == int(part)
+                    found_k.append(k[mine])
+                    found_o.append(o[mine])
+                keys, ords = _joined(found_k, np.uint64), _joined(found_o, np.int64)
                 by = np.lexsort((ords, keys))
                 keys, ords = keys[by], ords[by]
                 new = np.ones(len(keys), dtype=bool)
@@ -241,41 +271,52 @@ def _exact_task(root: str, state: dict, version: int):
                     new[1:] = keys[1:] != keys[:-1]
                 head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, dtype=np.int64)
                 first = ords[head]
-                for r in _runs(state, files, kind):
+                for r in _runs(state, files, task):
                     for q, o, _, _ in _hits(r, keys, keys, ords, 1):
                         np.minimum.at(first, q, o)
                 fresh = new & (first == ords)
-                runs, dead = _insert(files, state.get(kind, []), kind, version, keys[fresh], ords[fresh])
+                runs, dead = _insert(files, state.get(task, []), task, version, keys[fresh], ords[fresh])
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ords)), pa.array(ords), pa.array(first)], names=["kind", "ord", "first"])
-                files.write(f"{kind}/{version}.state", repr((runs, dead)).encode())
+                files.write(f"{task}/{version}.state", repr([(task, runs, dead)]).encode())
 
     return run
 
 
-def _near_task(root: str, state: dict, version: int, mask: int, cap: int):
+def _near_task(root: str, state: dict, version: int, mask: int, cap: int, parts: int):
     def run(batches):
         files = _Files(root)
         for batch in batches:
-            for g in batch.column("group").to_pylist():
-                table = files.read_table(f"signed/batch_no={version}", ["ord", f"k{g}"])
-                exact = files.read_table(f"exact/{version}", ["kind", "ord", "first"])
-                is_new = exact.filter(pa.compute.and_(pa.compute.equal(exact.column("kind"), "text_key"), pa.compute.equal(exact.column("ord"), exact.column("first"))))
-                every = table.column("ord").to_numpy()
-                use = np.isin(every, is_new.column("ord").to_numpy())
-                raw = [k for k, u in zip(table.column(f"k{g}").to_pylist(), use) if u]
-                ords = every[use]
-                keys = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1) if raw else np.zeros((0, PER_TASK), "<u8")
+            for task in batch.column("task").to_pylist():
+                g, part = (int(x) for x in task.split("."))
+                firsts = []
+                for b in files.batches(f"exact/{version}", ["kind", "ord", "first"]):
+                    b = b.filter(pa.compute.and_(pa.compute.equal(b.column("kind"), "text_key"), pa.compute.equal(b.column("ord"), b.column("first"))))
+                    firsts.append(b.column("ord").to_numpy(zero_copy_only=False))
+                is_new = np.sort(_joined(firsts, np.int64))
+                held: list[list] = [[] for _ in range(PER_TASK)]
+                for b in files.batches(f"signed/batch_no={version}", ["ord", f"k{g}"]):
+                    every = b.column("ord").to_numpy(zero_copy_only=False)
+                    at = np.minimum(np.searchsorted(is_new, every), max(len(is_new) - 1, 0))
+                    use = is_new[at] == every if len(is_new) else np.zeros(len(every), dtype=bool)
+                    raw = b.column(f"k{g}").filter(pa.array(use)).to_pylist()
+                    keys = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1) if raw else np.zeros((0, PER_TASK), "<u8")
+                    for t in range(PER_TASK):
+                        k = keys[:, t] & np.uint64(mask)
+                        mine = _part(k, parts) == part
+                        held[t].append(np.stack([k[mine].view(np.int64), every[use][mine]]))
                 pairs, more, log = [], [], []
-                for t in range(keys.shape[1]):
-                    tree = f"tree{g * PER_TASK + t}"
-                    k = keys[:, t] & np.uint64(mask)
-                    by = np.lexsort((ords, k))
-                    k, o = k[by], ords[by]
+                for t in range(PER_TASK):
+                    tree = f"tree{g * PER_TASK + t}.{part}"
+                    both = np.concatenate(held[t], axis=1) if held[t] else np.zeros((2, 0), dtype=np.int64)
+                    held[t] = []
+                    k, o = both[0].view(np.uint64), both[1]
+                    by = np.lexsort((o, k))
+                    k, o = k[by], o[by]
                     _search(_runs(state, files, tree), k, o, cap, pairs, more, own=True)
                     runs, dead = _insert(files, state.get(tree, []), tree, version, k, o)
                     log.append((tree, runs, dead))
                 yield _found(pairs, more)
-                files.write(f"group{g}/{version}.state", repr(log).encode())
+                files.write(f"{task}/{version}.state", repr(log).encode())
 
     return run
 
@@ -305,7 +346,7 @@ def _found(pairs: list, more: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.arange(len(both)) >= len(p))], names=["cand", "ord", "open"])
 
 
-def _again_task(root: str, state: dict, groups: int, mask: int, cap: int):
+def _again_task(root: str, state: dict, mask: int, cap: int, parts: int):
     """Unsettled rows against the whole forest, with a longer cap; their keys come with the rows."""
 
     def run(batches):
@@ -320,46 +361,64 @@ def _again_task(root: str, state: dict, groups: int, mask: int, cap: int):
                 for t in range(keys.shape[1]):
                     k = keys[:, t] & np.uint64(mask)
                     by = np.lexsort((ords[mine], k))
-                    _search(_runs(state, files, f"tree{g * PER_TASK + t}"), k[by], ords[mine][by], cap, pairs, more, own=False)
+                    k, o = k[by], ords[mine][by]
+                    where = _part(k, parts)
+                    for p in np.unique(where).tolist():
+                        _search(_runs(state, files, f"tree{g * PER_TASK + t}.{p}"), k[where == p], o[where == p], cap, pairs, more, own=False)
             yield _found(pairs, more)
 
     return run
 
 
 class HashForest:
-    """The state over one shared folder; ``state`` maps each tree to its runs [version, size]."""
+    """The state over one shared folder; ``state`` maps each part of a tree to its runs [version, size]."""
 
-    def __init__(self, spark: SparkSession, store: Scratch, trees: int = TREES, recall: float = RECALL, cap: int = CAP):
-        self.spark, self.store, self.trees, self.cap = spark, store, trees, cap
+    def __init__(self, spark: SparkSession, store: Scratch, trees: int = TREES, recall: float = RECALL, cap: int = CAP, parts: int = 1, state: dict | None = None, versions: list[int] | None = None, settled: list[str] | None = None):
+        self.spark, self.store, self.trees, self.recall, self.cap, self.parts = spark, store, trees, recall, cap, parts
         self.groups = trees // PER_TASK
         drop = LABEL * (DEPTH - depth_for(recall, trees))
         self.mask = ((1 << 64) - 1) >> drop << drop
-        self.state: dict[str, list] = {}
-
-    def _tasks(self, column: str, values: list) -> DataFrame:
-        kind = "string" if isinstance(values[0], str) else "int"
-        rows = self.spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"at int, {column} {kind}")
-        return rows.repartitionByRange(len(values), "at").select(column)
-
-    def _learn(self, names: list[str], version: int, grouped: bool) -> None:
+        self.state: dict[str, list] = state or {}
+        self.versions: list[int] = versions or []
+        self.settled: list[str] = settled or []  # tables of (ord, near), one for each call that settled batches
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> HashForest:
+        """The forest that an earlier session left in the folder."""
+        store = Scratch.at(spark, folder)
+        return cls(spark, store, **json.loads(_Files(store.root).read("forest.json")))
+
+    def save(self) -> None:
+        """Replaces the manifest by rename; until then the old one holds."""
+        said = {"trees": self.trees, "recall": self.recall, "cap": self.cap, "parts": self.parts, "state": self.state, "versions": self.versions, "settled": self.settled}
+        _Files(self.store.root).write("forest.json", json.dumps(said).encode())
+
+    def _tasks(self, names: list[str]) -> DataFrame:
+        rows = self.spark.createDataFrame([(i, v) for i, v in enumerate(names)], "at int, task string")
+        return rows.repartitionByRange(len(names), "at").select("task")
+
+    def _learn(self, names: list[str], version: int) -> None:
         files = _Files(self.store.root)
         for n in names:
-            with files.fs.open_input_stream(f"{files.root}/{n}/{version}.state") as f:
-                said = ast.literal_eval(f.read().decode())
-            for tree, runs, dead in said if grouped else [(n, *said)]:
+            for tree, runs, dead in ast.literal_eval(files.read(f"{n}/{version}.state").decode()):
                 self.state[tree] = runs
                 for d in dead:
                     files.delete(d)
 
     def accept(self, version: int) -> tuple[DataFrame, DataFrame]:
         """Batch ``version`` (signed before): exact repeats, near candidates; the batch joins the state."""
-        kinds = ["id_key", "text_key"]
-        exact = self.store.write(self._tasks("kind", kinds).mapInArrow(_exact_task(self.store.root, dict(self.state), version), "kind string, ord bigint, first bigint"), f"exact/{version}")
-        self._learn(kinds, version, False)
-        near = self.store.write(self._tasks("group", list(range(self.groups))).mapInArrow(_near_task(self.store.root, dict(self.state), version, self.mask, self.cap), "cand bigint, ord bigint, open boolean"), f"near/{version}")
-        self._learn([f"group{g}" for g in range(self.groups)], version, True)
+        kinds = [f"{k}.{p}" for k in ("id_key", "text_key") for p in range(self.parts)]
+        exact = self.store.write(self._tasks(kinds).mapInArrow(_exact_task(self.store.root, dict(self.state), version, self.parts), "kind string, ord bigint, first bigint"), f"exact/{version}")
+        self._learn(kinds, version)
+        groups = [f"{g}.{p}" for g in range(self.groups) for p in range(self.parts)]
+        near = self.store.write(self._tasks(groups).mapInArrow(_near_task(self.store.root, dict(self.state), version, self.mask, self.cap, self.parts), "cand bigint, ord bigint, open boolean"), f"near/{version}")
+        self._learn(groups, version)
+        self.versions.append(version)
         return exact, near
 
+    def shape(self) -> str:
+        return "ord bigint, batch_no int, id_key bigint, text_key bigint, " + ", ".join(f"k{g} binary" for g in range(self.groups))
+
 
 def _verify(threshold: float):
     def run(batches):
@@ -389,41 +448,84 @@ def _settle(store: Scratch, texts: DataFrame, near: DataFrame, threshold: float,
     return out
 
 
-def replay(spark: SparkSession, rows: DataFrame, threshold: float = 0.7, shortest: int = 40, trees: int = TREES, recall: float = RECALL, cap: int = CAP) -> DataFrame:
-    """``rows``: (row_id bigint, batch_no int, id string, content string). Feeds the batches in order and
-    returns (first_row_id, row_id) of every row that repeats an earlier one."""
-    store = Scratch(spark, "history")
+def _ordered(rows: DataFrame) -> DataFrame:
     order = F.coalesce("batch_no", F.lit(0)).cast("bigint") * F.lit(1 << ROW_BITS) + F.col("row_id")
-    fed = rows.where("row_id is not null").select(order.alias("ord"), F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "id", "content")
-    shape = "ord bigint, batch_no int, id_key bigint, text_key bigint, " + ", ".join(f"k{g} binary" for g in range(trees // PER_TASK))
-    signed = store.write(fed.mapInArrow(_sign(trees, shortest), shape), "signed", by="batch_no")
-    forest = HashForest(spark, store, trees, recall, cap)
-    versions = [r[0] for r in signed.select("batch_no").distinct().orderBy("batch_no").collect()]
-    for v in versions:
-        forest.accept(v)
+    return rows.where("row_id is not null").select(order.alias("ord"), F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "id", "content")
+
+
+def _resolve(forest: HashForest, texts: DataFrame, versions: list[int], threshold: float, name: str) -> DataFrame:
+    """(first_row_id, row_id) of the rows of some accepted batches."""
+    spark, store, cap = forest.spark, forest.store, forest.cap
     none = spark.createDataFrame([], "cand bigint, ord bigint, open boolean")
     near = spark.read.schema(none.schema).parquet(*[store.path(f"near/{v}") for v in versions]) if versions else none
     exact = spark.read.schema("kind string, ord bigint, first bigint").parquet(*[store.path(f"exact/{v}") for v in versions]) if versions else spark.createDataFrame([], "kind string, ord bigint, first bigint")
-    texts = fed.where("content is not null").select("ord", "content")
-    verified, step, longer = _settle(store, texts, near, threshold, "round0"), 0, cap
+    verified, step, longer = _settle(store, texts, near, threshold, f"{name}0"), 0, cap
     while True:
         best = verified.groupBy("ord").agg(F.min("cand").alias("best"))
         open_ = near.where("open").groupBy("ord").agg(F.min("cand").alias("seen")).join(best, "ord", "left").where("best is null or best > seen").select("ord")
-        unsettled = store.write(open_, f"open{step}")
+        unsettled = store.write(open_, f"{name}-open{step}")
         if not unsettled.limit(1).count():
             break
         step, longer = step + 1, longer * 16
-        keyed = signed.join(unsettled, "ord").select("ord", F.posexplode(F.array(*[f"k{g}" for g in range(trees // PER_TASK)])).alias("group", "keys"))
-        more = keyed.repartition("group").mapInArrow(_again_task(store.root, dict(forest.state), forest.groups, forest.mask, longer), "cand bigint, ord bigint, open boolean")
-        near = store.write(more, f"near-again{step}")
-        verified = verified.unionByName(_settle(store, texts, near.join(verified.select("cand", "ord"), ["cand", "ord"], "left_anti"), threshold, f"round{step}"))
-    by_text = verified.groupBy("ord").agg(F.min("cand").alias("near"))
+        signed = spark.read.schema(forest.shape()).parquet(*[store.path(f"signed/batch_no={v}") for v in versions])
+        keyed = signed.join(unsettled, "ord").select("ord", F.posexplode(F.array(*[f"k{g}" for g in range(forest.groups)])).alias("group", "keys"))
+        spread = max(forest.groups * forest.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        more = keyed.repartition(spread, "group", F.pmod(F.xxhash64("ord"), F.lit(forest.parts))).mapInArrow(_again_task(store.root, dict(forest.state), forest.mask, longer, forest.parts), "cand bigint, ord bigint, open boolean")
+        near = store.write(more, f"{name}-again{step}")
+        verified = verified.unionByName(_settle(store, texts, near.join(verified.select("cand", "ord"), ["cand", "ord"], "left_anti"), threshold, f"{name}{step}"))
+    by_text = store.write(verified.groupBy("ord").agg(F.min("cand").alias("near")), f"settled/{name}")
+    if forest.settled:  # a content whose first stands in an older batch repeats what that one repeats
+        by_text = by_text.unionByName(spark.read.schema(by_text.schema).parquet(*[store.path(f"settled/{x}") for x in forest.settled]))
+    forest.settled.append(name)
     same_text = exact.where("kind = 'text_key'").select("ord", F.col("first").alias("rep"))
     content = same_text.join(by_text.withColumnRenamed("ord", "rep"), "rep", "left").select("ord", F.least(F.col("rep"), F.coalesce("near", "rep")).alias("first"))
     ids = exact.where("kind = 'id_key'").select("ord", "first")
-    low = (1 << ROW_BITS) - 1
     out = content.unionByName(ids).where("first < ord").groupBy("ord").agg(F.min("first").alias("first"))
-    done = store.write(out.select(F.col("first").bitwiseAND(F.lit(low)).alias("first_row_id"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_id")), "repeats")
+    return store.write(out, f"{name}-repeats")
+
+
+def _plain(repeats: DataFrame) -> DataFrame:
+    low = (1 << ROW_BITS) - 1
+    return repeats.select(F.col("first").bitwiseAND(F.lit(low)).alias("first_row_id"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_id"))
+
+
+def accept_batch(forest: HashForest, rows: DataFrame, texts: DataFrame, threshold: float = 0.7, shortest: int = 40) -> DataFrame:
+    """One new batch against the kept forest: (first_row_id, row_id) of its repeats. ``rows`` as in replay, all of one
+    batch later than those accepted; ``texts``: (row_id, batch_no, content) of everything accepted before, read for
+    candidates only. The batch joins the forest, and the manifest is renewed last."""
+    new = _ordered(rows)
+    found = [r[0] for r in new.select("batch_no").distinct().limit(2).collect()]
+    if len(found) > 1 or found and found[0] <= max(forest.versions, default=-1):
+        raise ValueError("one batch at a time, later than those accepted")
+    if not found:
+        return forest.spark.createDataFrame([], "first_row_id bigint, row_id bigint")
+    v = found[0]
+    forest.store.write(new.mapInArrow(_sign(forest.trees, shortest), forest.shape()), f"signed/batch_no={v}")
+    forest.accept(v)
+    every = _ordered(texts.withColumn("id", F.lit(None).cast("string"))).unionByName(new).where("content is not null").select("ord", "content")
+    out = _resolve(forest, every, [v], threshold, f"batch{v}-")
+    forest.save()
+    return _plain(out)
+
+
+def replay(spark: SparkSession, rows: DataFrame, threshold: float = 0.7, shortest: int = 40, trees: int = TREES, recall: float = RECALL, cap: int = CAP, folder: str | None = None) -> DataFrame:
+    """``rows``: (row_id bigint, batch_no int, id string, content string). Feeds the batches in order and returns
+    (first_row_id, row_id) of every row that repeats an earlier one. With a ``folder`` the forest stays there for
+    later batches; else it ends with the call."""
+    store = Scratch.at(spark, folder) if folder else Scratch(spark, "history")
+    fed = _ordered(rows)
+    n = fed.count()
+    forest = HashForest(spark, store, trees, recall, cap, parts=-(-n // PART_ROWS) or 1)
+    shape = forest.shape()
+    signed = store.write(fed.mapInArrow(_sign(trees, shortest), shape), "signed", by="batch_no")
+    versions = [r[0] for r in signed.select("batch_no").distinct().orderBy("batch_no").collect()]
+    for v in versions:
+        forest.accept(v)
+    out = _resolve(forest, fed.where("content is not null").select("ord", "content"), versions, threshold, "round")
+    if folder:
+        forest.save()
+        return _plain(out)
+    done = store.write(_plain(out), "repeats")
     store.drop("signed")
     for tree in [*forest.state]:
         store.drop(tree)

@@ -116,6 +116,26 @@ def test_replay_of_evenly_spread_edits(spark, cap):
     assert len(got & {(2 * k + 1, 2 * k + 2) for k in range(len(pairs))}) >= 0.97 * len(pairs)
 
 
+def test_a_batch_against_the_kept_forest(spark, tmp_path, monkeypatch):
+    """Later batches, each in a session of its own over the stored forest, give the rows of the replay."""
+    monkeypatch.setattr(history, "PART_ROWS", 8)  # several parts a tree
+    rng = np.random.default_rng(8)
+    texts = pool(8, groups=10, size=4)
+    order = rng.permutation(len(texts))
+    rows = [(n + 1, n * 4 // len(texts), str(int(rng.integers(0, 60))) if n % 3 else None, texts[i]) for n, i in enumerate(order.tolist())]
+    rows += [(1000 + k, 3, None, rows[k * 5][3]) for k in range(8)]
+    df = spark.createDataFrame(rows, "row_id bigint, batch_no int, id string, content string")
+    whole = {tuple(r) for r in history.replay(spark, df).collect()}
+    first = {tuple(r) for r in history.replay(spark, df.where("batch_no < 2"), folder=str(tmp_path / "forest")).collect()}
+    for b in (2, 3):
+        forest = history.HashForest.open(spark, str(tmp_path / "forest"))
+        assert forest.parts > 1 and forest.versions == list(range(b))
+        first |= {tuple(r) for r in history.accept_batch(forest, df.where(f"batch_no = {b}"), df.where(f"batch_no < {b}")).collect()}
+    assert first == whole
+    with pytest.raises(ValueError):
+        history.accept_batch(history.HashForest.open(spark, str(tmp_path / "forest")), df.where("batch_no = 1"), df)
+
+
 def test_replay_edge_cases(spark):
     shape = "row_id bigint, batch_no int, id string, content string"
     assert history.replay(spark, spark.createDataFrame([], shape)).count() == 0
