@@ -40,7 +40,7 @@ from ._store import Scratch
 
 GRAM, WINDOW = 12, 10
 SHORT, LONG = 160, 100  # five-character runs: at most SHORT use exact prefixes, over LONG use winnowed ones
-BITS = (20, 26)  # log2 of the least and the most counters; between them, one for every four characters
+BITS = (20, 26)  # log2 of the least and the most counters; between them, one for every eight characters
 CHUNK = 18  # log2 of the counters in one stored piece of the table
 ROWS = 20_000  # texts whose postings one task meets, about 30 MB
 BLOCK = 4096  # postings of one n-gram that meet in one group
@@ -275,7 +275,7 @@ def near_pairs(spark: SparkSession, items: DataFrame, threshold: float = 0.7, ov
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if bits is None:
         chars = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
-        bits = min(max(int(np.ceil(np.log2(chars / 4 + 1))), BITS[0]), BITS[1])
+        bits = min(max(int(np.ceil(np.log2(chars / 8 + 1))), BITS[0]), BITS[1])
     survey = store.write(texts.mapInArrow(_survey(bits), "seq bigint, doc bigint, chunk int, slots binary, counts binary"), "survey")
     sums = survey.where("chunk is not null").select("chunk", "slots", "counts").repartition(parts, "chunk").mapInArrow(_sum_chunks, "chunk int, levels binary")
     table = np.zeros(1 << bits, dtype=np.uint8)
