@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..operators import arena, extension, rerank, scoring, state
+from ..operators import arena, extension, jobs, rerank, scoring, state
 from ..operators import evaluation as ev
 from ..operators import records as rec
 from ..sources import lenient
@@ -351,3 +351,53 @@ def _(spark, sf):
     scores = registry.scores(pool, t.read(spark, sf, "user_explicit_profile")).join(pool.select("item_id", "seq"), "item_id").join(long.withColumn("is_long", F.lit(True)), "item_id", "left")
     out = scoring.ranked(scoring.fused(scores, {"popularity": 1.0}, registry.custom), 20)
     return out.select("item_id", "final_score", "rank")
+
+
+@query("frequent_topics", f"WITH {b.SAVED}, w AS (SELECT DISTINCT profile_id, item_id, unnest({b.words('title')}) AS topic FROM saved), n AS (SELECT profile_id, topic, count(*) AS n FROM w GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, topic) AS place FROM n) WHERE place <= 8")
+def _(spark, sf):
+    return jobs.frequent_topics(t.saved(spark, sf).select("profile_id", "item_id", "title"))
+
+
+@query("impression_features", f"WITH k AS (SELECT * FROM (SELECT {ST('id')} AS answer_id, content_type, row_number() OVER (PARTITION BY {ST('id')} ORDER BY row_id) AS rn FROM zhihu_content WHERE id IS NOT NULL) WHERE rn = 1) SELECT coalesce(content_type, 'unknown') AS content_type, count(*) AS n, count(*) FILTER (click_ts > 0) AS n_clicked FROM inter_impression i LEFT JOIN k USING (answer_id) GROUP BY 1")
+def _(spark, sf):
+    """Impressions with the kind of the item shown; the counts of an item meet before anything is joined."""
+    known = rec.first_by(t.read(spark, sf, "zhihu_content").where("id is not null").select(text.strip(F.col("id")).alias("answer_id"), "content_type", "row_id"), ["answer_id"], "row_id")
+    rows = t.read(spark, sf, "inter_impression").select("answer_id", (F.col("click_ts") > 0).alias("clicked"))
+    per_item = rows.groupBy("answer_id").agg(F.count("*").alias("n"), F.count_if("clicked").alias("c"))
+    both = per_item.join(known.select("answer_id", "content_type"), "answer_id", "left")
+    return both.groupBy(F.coalesce("content_type", F.lit("unknown")).alias("content_type")).agg(F.sum("n").alias("n"), F.sum("c").alias("n_clicked"))
+
+
+@query("author_target_counts", f"SELECT author, count(*) AS n, max(row_id) AS last_row FROM (SELECT lower({ST('author.id')}) AS author, row_id, row_number() OVER (PARTITION BY lower({ST('author.id')}) ORDER BY row_id) AS rn FROM zhihu_content WHERE {ST('author.id')} <> '') WHERE rn <= 25 GROUP BY author")
+def _(spark, sf):
+    rows = t.read(spark, sf, "zhihu_content").select(F.lower(text.strip(F.col("author.id"))).alias("author"), "row_id").where("author <> ''")
+    return jobs.first_of_each(rows, F.col("author"), "row_id", 25).groupBy("author").agg(F.count("*").alias("n"), F.max("row_id").alias("last_row"))
+
+
+@query("thread_documents", """WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, 0::DOUBLE AS score, 0 AS posted, r_name AS body FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, (n_nationkey % 7)::DOUBLE, n_nationkey, n_name FROM nation),
+placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, posted DESC, id) AS place FROM nodes),
+tree AS (SELECT id, body, 0 AS depth, printf('%08d', place) AS path FROM placed WHERE parent IS NULL UNION ALL SELECT p.id, p.body, t.depth + 1, t.path || '/' || printf('%08d', p.place) FROM placed p JOIN tree t ON p.parent = t.id)
+SELECT substr(path, 1, 8) AS root, string_agg(repeat('  ', depth) || '- ' || body, chr(10) ORDER BY path) AS text, count(*) AS n FROM tree GROUP BY 1""")
+def _(spark, sf):
+    nodes = t.read(spark, sf, "region").selectExpr("concat('r', r_regionkey) AS id", "cast(null AS string) AS parent", "0D AS score", "cast(0 AS bigint) AS posted", "r_name AS body")
+    nodes = nodes.unionByName(t.read(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS id", "concat('r', n_regionkey) AS parent", "cast(n_nationkey % 7 AS double) AS score", "cast(n_nationkey AS bigint) AS posted", "n_name AS body"))
+    return jobs.thread_text(nodes, "body")
+
+
+@query("chunk_index_rebuild", "SELECT count(*) AS n_chunks, 0::BIGINT AS n_misses, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(range(greatest(1, ceil((length(text) - 150) / 1050.0))::BIGINT)) AS chunk_no FROM documents WHERE length(text) > 0)")
+def _(spark, sf):
+    """Builds the chunk index, keeps it, and builds again: the second time nothing is embedded."""
+    folder = _folder(spark, "chunks")
+    docs = t.read(spark, sf, "documents").select("doc_id", "text")
+    none = spark.createDataFrame([], "item_id string, text_hash string, vec array<float>")
+    zeros = lambda m: m.select("item_id", "text_hash", F.array_repeat(F.lit(0.0).cast("float"), 2).alias("vec"))
+    jobs.chunk_index(docs, none, zeros)[0].write.parquet(f"{folder}/index")
+    index, misses = jobs.chunk_index(docs, spark.read.parquet(f"{folder}/index"), zeros)
+    counted = index.agg(F.count("*").alias("n_chunks"), F.countDistinct(F.substring_index("item_id", "#", 1)).alias("n_docs"))
+    return counted.join(misses.agg(F.count("*").alias("n_misses"))).select("n_chunks", "n_misses", "n_docs")
+
+
+@query("id_lookup", "SELECT c.seq, d.doc_id IS NOT NULL AS known FROM collection_item c LEFT JOIN documents d ON d.doc_id = c.seq")
+def _(spark, sf):
+    docs = t.read(spark, sf, "documents").select("doc_id")
+    return t.read(spark, sf, "collection_item").select("seq").join(docs, F.col("seq") == F.col("doc_id"), "left").select("seq", F.col("doc_id").isNotNull().alias("known"))

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sievepath.operators import arena, extension, rerank, state
+from sievepath.operators import arena, extension, jobs, rerank, state
 from sievepath.sources import lenient
 
 
@@ -125,3 +125,39 @@ def test_run_artifacts_and_log(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     with pytest.raises(ValueError):
         extension.Registry().scores(ranked, ranked)
+
+
+def test_fetching_and_enriching(spark):
+    items = spark.createDataFrame([("a", "ok", "old"), ("b", "bad", "old"), ("c", None, "old")], "id string, url string, content string")
+
+    def fetch(url):
+        if url == "bad":
+            raise OSError("down")
+        return "new"
+
+    got = jobs.fetched(items, fetch, "id", "url")
+    assert {(r.id, r.body) for r in got.collect()} == {("a", "new"), ("b", ""), ("c", "")}
+    assert {(r.id, r.content) for r in jobs.enriched(items, got, "id", "content").collect()} == {("a", "new"), ("b", "old"), ("c", "old")}
+
+
+def test_compiling_skips_what_is_done(spark):
+    files = spark.createDataFrame([("x", "---\ntitle: T\nsource: s\n---\nbody"), ("y", "plain"), ("z", "done")], "name string, value string")
+    replies = spark.createDataFrame([("x", '```json\n{"title": "M", "topic": "q"}\n```'), ("y", "nothing")], "name string, reply string")
+    got = {r.name: (r.metadata, r.from_model) for r in jobs.compiled(files, files.where("name = 'z'"), lambda _: replies).collect()}
+    assert got == {"x": ({"source": "s", "title": "M", "topic": "q"}, True), "y": ({}, False)}
+
+
+def test_daily_steps_and_timing(spark):
+    stages = jobs.Stages()
+    assert stages.run("one", lambda: 7) == 7 and "one" in stages.seconds
+    ran = []
+    steps = {"a": lambda: ran.append("a"), "b": lambda: 1 / 0, "c": lambda: ran.append("c")}
+    assert jobs.daily(spark, steps) == {"a": "ok", "b": "failed: ZeroDivisionError", "c": "ok"} and ran == ["a", "c"]
+    assert list(jobs.daily(spark, steps, stop_on=("b",))) == ["a", "b"]
+
+
+def test_delivery_by_micro_batch(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    seen = []
+    jobs.deliver(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")), lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
+    assert sum(seen) == 3
