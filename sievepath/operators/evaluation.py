@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,45 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return inside.join(before, "n").select("item", (F.col("place") + F.col("before")).alias("rank"))
 
 
+def mean_pool_ranks(train: DataFrame, asked: DataFrame, vectors: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """``train``: (user_id, item), ``asked``: (ask_id, user_id, item), ``vectors``: (item, vec) of unit length. Adds the
+    rank of the asked item among all items by cosine with the mean of the user's vectors: one pass of block products
+    over the items for each block of at most ``limit`` bytes of questions; only counts are shuffled."""
+    spark = train.sparkSession
+    each = train.join(vectors, "item").select("user_id", F.posexplode("vec").alias("d", "x"))
+    pooled = each.groupBy("user_id", "d").agg(F.avg("x").alias("x")).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("m"))
+    means = pooled.select("user_id", F.transform("m", lambda r: r["x"]).alias("mean"))
+    known = asked.join(means, "user_id").join(vectors, "item").select("ask_id", "mean", "vec").persist()
+    n, width = known.agg(F.count("*"), F.max(F.size("mean"))).first()
+    blocks = max(1, -(-n * (width or 1) * 8 // limit))
+    out = None
+    for k in range(blocks):
+        mine = known.where(F.pmod(F.xxhash64("ask_id"), F.lit(blocks)) == k).toArrow()
+        if not mine.num_rows:
+            continue
+        users, target = np.array(mine.column("mean").to_pylist()), np.array(mine.column("vec").to_pylist())
+        sent = spark.sparkContext.broadcast((mine.column("ask_id").to_numpy(), users, np.einsum("ij,ij->i", users, target)))
+        part = vectors.select("vec").mapInArrow(_above(sent), "ask_id bigint, n bigint")
+        out = part if out is None else out.unionByName(part)
+    known.unpersist()
+    if out is None:
+        return spark.createDataFrame([], "ask_id bigint, rank bigint")
+    return out.groupBy("ask_id").agg((F.sum("n") + 1).alias("rank"))
+
+
+def _above(sent):
+    def run(batches):
+        ids, users, least = sent.value
+        n = np.zeros(len(ids), dtype=np.int64)
+        for batch in batches:
+            x = np.array(batch.column("vec").to_pylist())
+            for a in range(0, len(ids), 4096):
+                n[a : a + 4096] += (x @ users[a : a + 4096].T > least[a : a + 4096] + 1e-9).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["ask_id", "n"])
+
+    return run
+
+
 def list_metrics(samples: DataFrame, k: int) -> DataFrame:
     """``samples``: (target, ranked array). Mean recall and NDCG at ``k``."""
     place = F.array_position(F.slice("ranked", 1, k), F.col("target"))

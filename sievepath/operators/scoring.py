@@ -36,14 +36,17 @@ def merge_rerank(base: dict[str, float], share: float = 0.5) -> dict[str, float]
     return {k: w * (1 - share) for k, w in base.items() if k != "rerank"} | {"rerank": share}
 
 
-def cloud_similarity(spark: SparkSession, items: DataFrame, cloud: DataFrame, top: int = TOP, decay: float = DECAY, limit: int = CLOUD_BYTES) -> DataFrame:
-    """(profile_id, item_id, i2i): the mean of the ``top`` greatest cosines with the profile's vectors,
+def cloud_similarity(spark: SparkSession, items: DataFrame, cloud: DataFrame, top: int = TOP, decay: float = DECAY, limit: int = CLOUD_BYTES, metric: str = "cosine") -> DataFrame:
+    """(profile_id, item_id, i2i): the mean of the ``top`` greatest similarities (cosine, or one over one plus the
+    euclidean distance of the unit vectors, which orders alike) with the profile's vectors,
     weighted by age in places (the last saved item weighs one). ``items`` has (item_id, embedding).
 
     The clouds are sent to the executors in blocks of at most ``limit`` bytes, each a pass of block
     products over the items, so neither side is shuffled."""
     if top < 1:
         raise ValueError("top must be positive")
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
     size = cloud.agg(F.count("*"), F.max(F.size("vec"))).first()
     rows, length = int(size[0]), int(size[1] or 0)
     shape = "profile_id bigint, item_id string, i2i double"
@@ -60,12 +63,12 @@ def cloud_similarity(spark: SparkSession, items: DataFrame, cloud: DataFrame, to
         age = np.exp(-decay * (mine.column("size").to_numpy() - 1 - mine.column("pos").to_numpy()))
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
         sent = spark.sparkContext.broadcast((owner, matrix, age, cuts))
-        part = items.where("embedding is not null").select("item_id", "embedding").mapInArrow(_products(sent, top), shape)
+        part = items.where("embedding is not null").select("item_id", "embedding").mapInArrow(_products(sent, top, metric), shape)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _products(sent, top: int):
+def _products(sent, top: int, metric: str):
     def run(batches):
         owner, matrix, age, cuts = sent.value
         for batch in batches:
@@ -78,7 +81,10 @@ def _products(sent, top: int):
                     mine = sims[:, lo:hi]
                     best = np.argsort(-np.round(mine, 12), axis=1, kind="stable")[:, :top]
                     w = age[lo:hi][best]
-                    score = (np.take_along_axis(mine, best, axis=1) * w).sum(axis=1) / w.sum(axis=1)
+                    near = np.take_along_axis(mine, best, axis=1)
+                    if metric == "euclidean":  # tiny vectors do not reach length one
+                        near = 1 / (1 + np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (matrix[lo:hi] ** 2).sum(axis=1)[best] - 2 * near, 0)))
+                    score = (near * w).sum(axis=1) / w.sum(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), owner[lo], dtype=np.int64)), b.column("item_id"), pa.array(score)], names=["profile_id", "item_id", "i2i"])
 
     return run

@@ -401,3 +401,31 @@ def _(spark, sf):
 def _(spark, sf):
     docs = t.read(spark, sf, "documents").select("doc_id")
     return t.read(spark, sf, "collection_item").select("seq").join(docs, F.col("seq") == F.col("doc_id"), "left").select("seq", F.col("doc_id").isNotNull().alias("known"))
+
+
+_EUCLID = b.near("near3", "cloud", 3, 0.05).replace("AS sim,", "AS cos_, 1 / (1 + list_distance(x.u, k.vec)) AS sim,", 1)
+
+
+@query("i2i_euclidean", f"WITH {b.CAND}, {b.SAVED}, {b.CLOUD}, {_EUCLID} SELECT profile_id, item_id, round(score, 5) AS i2i FROM near3")
+def _(spark, sf):
+    return scoring.cloud_similarity(spark, t.candidates(spark, sf), t.cloud(spark, sf), metric="euclidean").select("profile_id", "item_id", F.round("i2i", 5).alias("i2i"))
+
+
+_POOLED = f"""{_SPLIT}, n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT a.item, {b.unit('e.embedding')} AS u FROM (SELECT {ST('id')} AS item, min(row_id) AS row_id FROM zhihu_content WHERE {ST('id')} <> '' GROUP BY 1) a, n JOIN embeddings e ON e.vec_id = a.row_id % n.n),
+d AS (SELECT user_id, k, avg(u[k]) AS x FROM (SELECT DISTINCT user_id, item FROM parts WHERE part = 'train') JOIN v USING (item), range(1, 65) r(k) GROUP BY ALL), m AS (SELECT user_id, list(x ORDER BY k) AS mean FROM d GROUP BY user_id),
+q AS (SELECT DISTINCT part, user_id, item FROM parts WHERE part = 'test'), asked AS (SELECT q.user_id, q.item, m.mean, list_dot_product(m.mean, v.u) AS s FROM q JOIN m USING (user_id) JOIN v USING (item)),
+ranks AS (SELECT user_id, item, 1 + count(*) FILTER (list_dot_product(a.mean, v.u) > a.s + 1e-9) AS rank FROM asked a, v GROUP BY user_id, a.item)""".replace("SELECT user_id, item, 1 +", "SELECT a.user_id, a.item, 1 +").replace("GROUP BY user_id, a.item)", "GROUP BY a.user_id, a.item)")
+
+
+@query("meanpool_metrics", f"WITH {_POOLED} SELECT count(*) AS n_asked, round(avg(CASE WHEN rank <= 50 THEN 1 ELSE 0 END), 6) AS recall_50, round(avg(CASE WHEN rank <= 500 THEN 1 ELSE 0 END), 6) AS recall_500, round(avg(1.0 / rank), 6) AS mrr FROM ranks")
+def _(spark, sf):
+    """Mean-pooled users against all items. The stored vectors stand in for those of the answers, dealt by row."""
+    n = t.read(spark, sf, "embeddings").count()
+    first = t.read(spark, sf, "zhihu_content").select(text.strip(F.col("id")).alias("item"), "row_id").where("item <> ''").groupBy("item").agg(F.min("row_id").alias("row_id"))
+    vec = t.read(spark, sf, "embeddings").select("vec_id", vector.unit(F.col("embedding")).alias("vec"))
+    vectors = first.join(vec, F.col("vec_id") == F.col("row_id") % n).select("item", "vec")
+    parts = _parts(spark, sf)
+    asked = parts.where("part = 'test'").select("user_id", "item").distinct().withColumn("ask_id", F.xxhash64("user_id", "item"))
+    ranks = ev.mean_pool_ranks(parts.where("part = 'train'").select("user_id", "item").distinct(), asked, vectors)
+    hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
+    return ranks.agg(F.count("*").alias("n_asked"), hit(50).alias("recall_50"), hit(500).alias("recall_500"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
