@@ -47,11 +47,12 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._store import Scratch
+from .nearcopy import SKETCH, _sketches
 
-GRAM, WINDOW = 10, 8
+GRAM, WINDOW = 9, 4  # short grams in narrow windows: even edits leave half of the labels equal
 TREES, DEPTH, LABEL = 32, 3, 16
 PER_TASK = 4
-ALIKE = 0.36  # least share of equal fingerprints at an agreement of 0.7 and more, measured on evenly edited texts
+ALIKE = 0.51  # mean share of equal labels of evenly edited texts at an agreement of 0.70 to 0.75, the worst spread of edits (measured)
 RECALL = 0.985
 CAP = 64
 ROW_BITS = 44
@@ -106,6 +107,8 @@ def _sign(trees: int, shortest: int):
                 flat = memoryview(np.ascontiguousarray(code)).cast("B")
                 same = np.array([xxhash.xxh3_64_intdigest(flat[4 * off[i] : 4 * off[i + 1]]) for i in range(e - s)], dtype=np.uint64).astype(np.int64)
                 keys = _labels(code, off, trees)
+                runs, ends = tx.distinct_sorted(*tx.grams_by_text(tx.gram_hashes(code, tx.RUN), off, tx.RUN))
+                sketch = _sketches(runs, ends).view(np.int64)
                 number = [id_number(x) for x in ids[s:e]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -113,9 +116,11 @@ def _sign(trees: int, shortest: int):
                         batch.column("batch_no").slice(s, e - s),
                         pa.array([None if n is None else xxhash.xxh3_64_intdigest(n) - (1 << 63) for n in number], pa.int64()),
                         pa.array(same, mask=~long),
+                        pa.array(sketch[:, 0].copy()),
+                        pa.array(sketch[:, 1].copy()),
                     ]
                     + [pa.array([x.tobytes() for x in keys[:, g * PER_TASK : (g + 1) * PER_TASK]], pa.binary()) for g in range(groups)],
-                    names=["ord", "batch_no", "id_key", "text_key"] + [f"k{g}" for g in range(groups)],
+                    names=["ord", "batch_no", "id_key", "text_key", "s0", "s1"] + [f"k{g}" for g in range(groups)],
                 )
 
     return run
@@ -417,7 +422,7 @@ class HashForest:
         return exact, near
 
     def shape(self) -> str:
-        return "ord bigint, batch_no int, id_key bigint, text_key bigint, " + ", ".join(f"k{g} binary" for g in range(self.groups))
+        return "ord bigint, batch_no int, id_key bigint, text_key bigint, s0 bigint, s1 bigint, " + ", ".join(f"k{g} binary" for g in range(self.groups))
 
 
 def _verify(threshold: float):
@@ -437,9 +442,16 @@ def _verify(threshold: float):
     return run
 
 
-def _settle(store: Scratch, texts: DataFrame, near: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Verified (cand, ord) pairs of candidates."""
-    pairs = store.write(near.where("not open").select("cand", "ord").distinct(), f"{name}-pairs")
+def _settle(forest: HashForest, texts: DataFrame, near: DataFrame, threshold: float, name: str) -> DataFrame:
+    """Verified (cand, ord) pairs of candidates. Before a text is read for a pair, the 128-bit sketches of both must
+    agree as those of texts at the threshold do, four sigma less."""
+    store = forest.store
+    p = (1 + threshold) / 2
+    unlike = int(SKETCH * (1 - p) + 4 * (SKETCH * p * (1 - p)) ** 0.5)
+    sketches = forest.spark.read.schema("ord bigint, s0 bigint, s1 bigint").parquet(*[store.path(f"signed/batch_no={v}") for v in forest.versions]) if forest.versions else forest.spark.createDataFrame([], "ord bigint, s0 bigint, s1 bigint")
+    both = near.where("not open").select("cand", "ord").join(sketches, "ord").join(sketches.select(F.col("ord").alias("cand"), F.col("s0").alias("t0"), F.col("s1").alias("t1")), "cand")
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    pairs = store.write(both.where(differ <= unlike).select("cand", "ord").distinct(), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("cand", "ord")).alias("ord")).distinct()
     known = store.write(texts.join(wanted, "ord"), f"{name}-known")
     both = pairs.join(known.select("ord", F.col("content").alias("text_b")), "ord").join(known.select(F.col("ord").alias("cand"), F.col("content").alias("text_a")), "cand")
@@ -459,7 +471,7 @@ def _resolve(forest: HashForest, texts: DataFrame, versions: list[int], threshol
     none = spark.createDataFrame([], "cand bigint, ord bigint, open boolean")
     near = spark.read.schema(none.schema).parquet(*[store.path(f"near/{v}") for v in versions]) if versions else none
     exact = spark.read.schema("kind string, ord bigint, first bigint").parquet(*[store.path(f"exact/{v}") for v in versions]) if versions else spark.createDataFrame([], "kind string, ord bigint, first bigint")
-    verified, step, longer = _settle(store, texts, near, threshold, f"{name}0"), 0, cap
+    verified, step, longer = _settle(forest, texts, near, threshold, f"{name}0"), 0, cap
     while True:
         best = verified.groupBy("ord").agg(F.min("cand").alias("best"))
         open_ = near.where("open").groupBy("ord").agg(F.min("cand").alias("seen")).join(best, "ord", "left").where("best is null or best > seen").select("ord")
@@ -472,7 +484,7 @@ def _resolve(forest: HashForest, texts: DataFrame, versions: list[int], threshol
         spread = max(forest.groups * forest.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
         more = keyed.repartition(spread, "group", F.pmod(F.xxhash64("ord"), F.lit(forest.parts))).mapInArrow(_again_task(store.root, dict(forest.state), forest.mask, longer, forest.parts), "cand bigint, ord bigint, open boolean")
         near = store.write(more, f"{name}-again{step}")
-        verified = verified.unionByName(_settle(store, texts, near.join(verified.select("cand", "ord"), ["cand", "ord"], "left_anti"), threshold, f"{name}{step}"))
+        verified = verified.unionByName(_settle(forest, texts, near.join(verified.select("cand", "ord"), ["cand", "ord"], "left_anti"), threshold, f"{name}{step}"))
     by_text = store.write(verified.groupBy("ord").agg(F.min("cand").alias("near")), f"settled/{name}")
     if forest.settled:  # a content whose first stands in an older batch repeats what that one repeats
         by_text = by_text.unionByName(spark.read.schema(by_text.schema).parquet(*[store.path(f"settled/{x}") for x in forest.settled]))
