@@ -208,22 +208,34 @@ SCALE, START, SPREAD, VOLATILITY, TAU = 173.7178, 1500.0, 350.0, 0.06, 0.5
 
 
 def _glicko_step(mu: float, phi: float, sigma: float, games: list[tuple[float, float, float]]) -> tuple[float, float, float]:
-    """One rating period of the published Glicko-2 algorithm; ``games`` holds (mu_j, phi_j, score)."""
-    g = [1 / math.sqrt(1 + 3 * p * p / math.pi**2) for _, p, _ in games]
-    e = [1 / (1 + math.exp(-gj * (mu - m))) for gj, (m, _, _) in zip(g, games)]
-    v = 1 / sum(gj * gj * ej * (1 - ej) for gj, ej in zip(g, e))
-    gain = sum(gj * (s - ej) for gj, ej, (_, _, s) in zip(g, e, games))
-    delta, a = v * gain, math.log(sigma * sigma)
+    """One rating period of the published Glicko-2 algorithm; ``games`` holds (mu_j, phi_j, score). The equation of the
+    volatility has several roots where a game was all but certain; the one next to the old volatility counts, as any
+    other has one upset blow it up. Nobody's deviation exceeds a new player's, as in Glicko, nor does
+    the volatility, since with one game a period they else feed each other without bound. Certain games are kept apart from 0 and 1 in floating point."""
+    gain = weight = 0.0
+    for m, p, s in games:
+        g = 1 / math.sqrt(1 + 3 * p * p / math.pi**2)
+        x = g * (mu - m)
+        z = math.exp(-abs(x))
+        e = 1 / (1 + z) if x >= 0 else z / (1 + z)
+        gain += g * (s - e)
+        weight += g * g * max(z / (1 + z) ** 2, 1e-290)
+    v = 1 / weight
+    push, a = gain * gain * v, math.log(sigma * sigma)  # delta**2 is push * v
 
     def f(x: float) -> float:
         ex = math.exp(x)
-        return ex * (delta * delta - phi * phi - v - ex) / (2 * (phi * phi + v + ex) ** 2) - (x - a) / TAU**2
+        q = phi * phi + v + ex
+        return ex / (2 * q) * (push * (v / q) - 1) - (x - a) / TAU**2
 
-    low = a
-    if delta * delta > phi * phi + v:
-        high = math.log(delta * delta - phi * phi - v)
+    low, k = a, 1
+    if push * v > phi * phi + v + sigma * sigma:
+        while f(a + k * TAU) > 0:
+            k += 1
+        low, high = a + (k - 1) * TAU, a + k * TAU
+    elif push * v > phi * phi + v:
+        high = math.log(push * v - phi * phi - v)
     else:
-        k = 1
         while f(a - k * TAU) < 0:
             k += 1
         high = a - k * TAU
@@ -236,24 +248,40 @@ def _glicko_step(mu: float, phi: float, sigma: float, games: list[tuple[float, f
         else:
             fl /= 2
         high, fh = mid, fm
-    sigma = math.exp(low / 2)
+    sigma = min(math.exp(low / 2), SPREAD / SCALE)
     wide = math.sqrt(phi * phi + sigma * sigma)
-    phi = 1 / math.sqrt(1 / (wide * wide) + 1 / v)
+    phi = min(1 / math.sqrt(1 / (wide * wide) + 1 / v), SPREAD / SCALE)
     return mu + phi * phi * gain, phi, sigma
 
 
 def glicko(games: DataFrame) -> DataFrame:
-    """``games``: (arena, at, a, b, score of a: 1, 0.5 or 0). Sequential ratings, one game a period, by arena."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, tuple[float, float, float, int]] = {}
-        for a, b_, s in rows.sort_values(["at", "a", "b"], kind="stable")[["a", "b", "score"]].itertuples(index=False):
-            x, y = (state.get(p, (0.0, SPREAD / SCALE, VOLATILITY, 0)) for p in (a, b_))
-            state[a] = (*_glicko_step(*x[:3], [(y[0], y[1], s)]), x[3] + 1)
-            state[b_] = (*_glicko_step(*y[:3], [(x[0], x[1], 1 - s)]), y[3] + 1)
-        return pd.DataFrame([(key[0], p, START + SCALE * m, SCALE * d, n) for p, (m, d, _, n) in sorted(state.items())], columns=["arena", "player", "rating", "deviation", "n_games"])
-
-    return games.groupBy("arena").applyInPandas(fold, "arena string, player string, rating double, deviation double, n_games bigint")
+    """``games``: (arena, at, a, b, score of a: 1, 0.5 or 0). Sequential ratings, one game a period, by arena; games of
+    the same players at the same time go by a column ``game``, if there is one, and by score. Spark sorts, on disk where need be; the fold reads its arena's games in
+    batches and holds the players alone."""
+    schema = "arena string, player string, rating double, deviation double, n_games bigint"
+
+    def rated(arena, state: dict) -> pa.RecordBatch:
+        rows = [(arena, p, START + SCALE * m, SCALE * d, n) for p, (m, d, _, n) in sorted(state.items())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], names=["arena", "player", "rating", "deviation", "n_games"])
+
+    def fold(batches):
+        new = (0.0, SPREAD / SCALE, VOLATILITY, 0)
+        last, state = None, {}
+        for batch in batches:
+            for arena, a, b_, s in zip(*(batch.column(c).to_pylist() for c in ("arena", "a", "b", "score"))):
+                if arena != last:
+                    if state:
+                        yield rated(last, state)
+                    last, state = arena, {}
+                x, y = state.get(a, new), state.get(b_, new)
+                state[a] = (*_glicko_step(*x[:3], [(y[0], y[1], s)]), x[3] + 1)
+                state[b_] = (*_glicko_step(*y[:3], [(x[0], x[1], 1 - s)]), y[3] + 1)
+        if state:
+            yield rated(last, state)
+
+    order = [c for c in ("at", "a", "b", "game", "score") if c in games.columns]
+    rows = games.select(*[F.col(c).cast("string").alias(c) for c in ("arena", "a", "b")], *[c for c in order if c not in ("a", "b", "score")], F.col("score").cast("double").alias("score"))
+    return rows.repartition("arena").sortWithinPartitions("arena", *map(F.asc_nulls_last, order)).select("arena", "a", "b", "score").mapInArrow(fold, schema)
 
 
 def mock_vectors(df: DataFrame, id_: str, body: str, length: int = 64) -> DataFrame:

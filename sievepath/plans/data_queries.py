@@ -355,7 +355,7 @@ def _(spark, sf):
 @query("glicko2_ratings")
 def _(spark, sf):
     g = _games(spark, sf).where("a <> b")
-    return ev.glicko(g.select("arena", F.col("at").cast("string").alias("at"), "a", "b", F.when(F.col("winner") == "A", 1.0).when(F.col("winner") == "tie", 0.5).otherwise(0.0).alias("score")))
+    return ev.glicko(g.select("arena", F.col("pair_id").alias("game"), F.col("at").cast("string").alias("at"), "a", "b", F.when(F.col("winner") == "A", 1.0).when(F.col("winner") == "tie", 0.5).otherwise(0.0).alias("score")))
 
 
 @query("kmeans_clusters")

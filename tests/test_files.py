@@ -125,6 +125,26 @@ def test_ratings_are_bounded_and_repeatable(spark):
     assert one == two and one["A"] > 1500 > one["B"] and abs(one["C"] - 1500) < 1 and all(0 < v < 3000 for v in one.values())
 
 
+def test_rating_step_of_the_published_example_and_of_certain_games():
+    player = lambda rating, deviation: ((rating - 1500) / evaluation.SCALE, deviation / evaluation.SCALE)
+    mu, phi, sigma = evaluation._glicko_step(*player(1500, 200), 0.06, [(*player(1400, 30), 1), (*player(1550, 100), 0), (*player(1700, 300), 0)])
+    assert (round(1500 + evaluation.SCALE * mu, 1), round(evaluation.SCALE * phi, 1), round(sigma, 5)) == (1464.1, 151.5, 0.06)
+    for far in (40.0, 900.0, -900.0):  # both sides of what floating point tells from 0 and 1, and an upset
+        for score in (0, 1):
+            mu, phi, sigma = evaluation._glicko_step(far, 0.5, 0.06, [(0.0, 0.3, score)])
+            assert abs(mu - far) < 1 and phi < 1 and 0.05 < sigma < 0.07
+    for k in range(3000):  # erratic players stay no less certain than new ones
+        mu, phi, sigma = evaluation._glicko_step(mu, phi, sigma if k else 1.5, [(0.0, 0.3, k // 20 % 2)])
+        assert phi <= evaluation.SPREAD / evaluation.SCALE and sigma < 100 and abs(mu) < 1000
+
+
+def test_ratings_do_not_follow_the_order_of_rows(spark):
+    games = [(f"x{i % 3}", "2020", i, "A", "B" if i % 2 else "C", i * 7 % 3 / 2) for i in range(300)]
+    read = lambda rows: sorted(map(tuple, evaluation.glicko(spark.createDataFrame(rows, "arena string, at string, game bigint, a string, b string, score double")).collect()))
+    got = read(games)
+    assert got == read(games[::-1]) and [r[0:2] for r in got] == [(f"x{i}", p) for i in range(3) for p in "ABC"] and sum(r[4] for r in got) == 600
+
+
 def test_winner_rule(spark):
     runs = spark.createDataFrame([("w3", 10, 10, 0.02, 0.2, 1000.0), ("w6", 10, 10, 0.025, 0.1, 900.0), ("w9", 9, 10, 0.0, 0.0, 800.0)], "run string, pairs_done int, pairs_total int, error_rate double, flip_rate double, seconds double")
     assert evaluation.chosen_winner(runs).first().run == "w6"
