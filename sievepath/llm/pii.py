@@ -15,11 +15,10 @@ so what remains are short segments around family characters, capitalised pairs a
 
 Inference is exact on the chains; messages along skip edges go back and forth until they settle, then
 each token takes its most probable label. All weights are fitted here, piecewise: node and chain weights by
-maximum likelihood, skip weights from the agreement of labelled pairs. Labels come from at most
-FIT_DOCS documents: labelled fields ("Author:", titles) and checked forms are certain, their name
+maximum likelihood, skip weights from the agreement of labelled pairs, both over all documents: labelled fields ("Author:", titles) and checked forms are certain, their name
 parts spread to other mentions, beginnings that many documents use are words, and in some turns the
-model labels what it is sure of and is fitted again, unsure segments left out. No other statistic of
-the corpus is used, so nothing grows with it.
+model labels what it is sure of and is fitted again, unsure segments left out. The fields of all documents are kept
+on disk for that; the driver holds sums, the weights, and the distinct names and parts that labelled fields state.
 
 Defined cases: null and empty texts have no spans and stay as they are; very long texts are read
 whole; each row is judged for itself, repeated ids included; positions count characters from 1.
@@ -27,16 +26,20 @@ whole; each row is judged for itself, repeated ids included; positions count cha
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._store import Scratch
 
-FIT_DOCS = 2000
 KINDS = ("email", "phone", "id_number", "street_address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -250,6 +253,7 @@ def forms(text: str) -> list[tuple]:
 
 LABELS = 4  # O, B, I, K: outside, begin and inside of a name, the own kind of a form token
 BUCKETS = 1 << 18
+COMMON = 0.1  # weight in a fit of segments with no beginning but usual ones
 _HAN, _LETTER, _DIGIT, _LINE, _MARK, _FORM = 1, 2, 3, 4, 5, 6
 _NEVER = -40.0
 # Dense features of name tokens with the default weights of B and I, the centre of the prior.
@@ -393,8 +397,8 @@ class Field:
             self.pairs.append((int(i), int(j), {"word": 1, "known words": known, "romanised": lx in _ROMAN or ly in _ROMAN, "word cue": bool(_RELATION_EN.search(left) or _RELATION_ZH.search(left)), "word right": bool(_AFTER_EN.match(right)), "comma": "," in gap, "between marks": marks, "unusual pair": model.evidence * ((lx, ly) not in model.usual_pairs)}, (lx, ly)))
 
     def _han(self, joined: str, model: Model, fitting: bool) -> None:
-        """Family characters that may begin a name: all but usual beginnings without a cue. A fit sees those in
-        every tenth document, as names not meant.""" 
+        """Family characters that may begin a name: all but usual beginnings without a cue. A fit sees those
+        too, with the weight COMMON, as names not meant."""
         n, given = len(self.at), model.is_given()
         ch = np.concatenate([self.ch, np.zeros(4, dtype=self.ch.dtype)])
         han = np.concatenate([self.cls == _HAN, np.zeros(4, dtype=bool)])
@@ -420,7 +424,7 @@ class Field:
         usual = np.isin(ch[fam].astype(np.int64) << 16 | ch[fam + 1], model.usual) & ~two
         keep = ~usual | cue
         if fitting:
-            keep |= np.searchsorted(self.base, self.at[fam], side="right") % 10 == 0
+            keep[:] = True
         self.fam, self.two = fam[keep], two[keep]
         self.han_dense = np.stack([x[keep].astype(np.float64) for x in (first, first & second, left, ~left & ~cue, right & ~_ROAD[ch[g1]], cue, two)], axis=1)
         self.given, self.chars, self.rare = given, ch, ~usual[keep] * model.evidence
@@ -686,144 +690,371 @@ _SEED_ZH = re.compile(rf"{_FIELD_ZH}[：:\s]{{0,2}}({'|'.join(_DOUBLE)}|[{_FAMIL
 _SEED_EN = re.compile(rf"{_FIELD_EN}\s+([A-Z][A-Za-z'’-]+)(,?\s(?:[A-Z]\.\s?)?)([A-Z][A-Za-z'’-]+)(?=\s|[,.;<(（]|$)")
 
 
-def _labels(field: Field, seeds: set, firm: dict, model: Model, trained: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(label, certain) of the tokens. Field names, mentions made of their parts and checked forms are certain; all
-    else is labelled by the model where that leaves no doubt. Before the first fit only clear refusals count."""
-    m = len(field.tok)
-    alpha, beta, *_ = _chain(settle(field, model, 4), field.start, field.size, model.chain)
-    p = _marginals(alpha, beta)
-    label = p.argmax(axis=1).astype(np.int8)
-    sure = p[np.arange(m), label] > np.where(label > 0, 0.5, 0.99)
-    if not trained:
-        label = np.zeros(m, dtype=np.int8)
-        sure = p[:, 0] > 0.98
-    t = field.tok[field.slot[field.fam]]
-    usual = np.isin(field.chars[t].astype(np.int64) << 16 | field.chars[t + 1], model.usual) & ~field.two
-    for k in (0, 1):
-        label[field.slot[field.fam][usual] + k], sure[field.slot[field.fam][usual] + k] = 0, True
-    for f, two in zip(field.fam.tolist(), field.two.tolist()):
-        step = 2 if two else 1
-        s, n = field.slot[f], firm.get(int(field.at[f]), 0)
-        if not n and seeds:
-            text = "".join(chr(c) for c in field.chars[f : f + step + 2])
-            n = step + 2 if text in seeds else step + 1 if text[:-1] in seeds and text[-1] not in model.given else 0
-        if n:
-            label[s], sure[s : s + n] = 1, True
-            label[s + 1 : s + n] = 2
-    for i, j, _, pair in field.pairs:
-        if int(field.at[i]) in firm or pair[0] in model.words and pair[1] in model.words:
-            s, e = field.slot[i], field.slot[j]
-            label[s], sure[s : e + 1] = 1, True
-            label[s + 1 : e + 1] = 2
-    for s, f in zip(field.form_slot.tolist(), field.form_at.tolist()):
-        strong = field.forms[f][5]
-        if strong is not None:
-            label[s], sure[s] = 3 if strong else 0, True
-    return label, sure
-
-
-def _learn_usual(model: Model, texts: list[str], share: float = 0.004, least: int = 3) -> None:
-    """Beginnings (a family character and the next) and capitalised pairs that more than ``share`` of the texts use:
-    words, no persons."""
-    model.evidence = float(np.clip(np.log(max(len(texts), 1) / 20) / np.log(50), 0, 1))
-    n: dict = {}
-    for t in texts:
-        for x in {*_BEGINNING.findall(t), *((a.lower(), b.lower()) for a, b in _TWO_WORDS.findall(t))}:
-            n[x] = n.get(x, 0) + 1
-    named: dict = {}  # a beginning that fields name often enough is a person's after all
+class Kept:
+    """What fitting needs of a field, all by slot: it is made once and kept, and ``refresh`` brings in the known name parts."""
+
+    def __init__(self, field: Field, model: Model, seeds: np.ndarray, firm: dict):
+        self.start, self.size, self.allowed, self.hashed = field.start, field.size, field.allowed, field.hashed
+        self.dense, self.linked = field.dense.astype(np.float32), field.edges()
+        self.fam, self.two = field.slot[field.fam], field.two
+        step = np.where(field.two, 2, 1)
+        chars = np.concatenate([field.chars, np.zeros(4, dtype=field.chars.dtype)])
+        self.chars = chars[field.fam[:, None] + np.arange(4)].astype(np.int64).reshape(-1, 4)
+        n, at, cls = len(field.at), np.concatenate([field.at, np.full(8, -1)]), np.concatenate([field.cls, np.zeros(8, dtype=field.cls.dtype)])
+        g1, g2 = field.fam + step, field.fam + step + 1
+        self.ok = np.stack([cls[g1] == _HAN, (cls[g2] == _HAN) & (at[g2] == at[g1] + 1)])
+        self.part_slot = np.flatnonzero(field.dense[:, _AT["second given"]] == 1)
+        self.part_char = field.ch[field.tok[self.part_slot]]
+        self.usual = np.isin(self.chars[:, 0] << 16 | self.chars[:, 1], model.usual) & ~field.two
+        rows = np.arange(len(self.fam))
+        self.last = self.chars[rows, step + 1] if len(rows) else np.zeros(0, dtype=np.int64)
+        short = sum(self.chars[:, k] << (16 * k) for k in range(2)) + (self.chars[:, 2] << 32) * field.two
+        self.short = np.isin(short, seeds)
+        self.whole = np.isin(short + (self.last << (16 * (step + 1))), seeds)
+        plain, held = np.zeros(len(self.start), dtype=bool), np.zeros(len(self.start), dtype=bool)
+        of = np.searchsorted(self.start, self.fam, side="right") - 1
+        mere = self.usual & (field.han_dense[:, 5] == 0)
+        plain[of[mere]] = held[of[~mere]] = True
+        for at_ in (field.form_slot, np.array([field.slot[i] for i, *_ in field.pairs], dtype=np.int64)):
+            held[np.searchsorted(self.start, at_, side="right") - 1] = True
+        self.weight = np.where(plain & ~held, COMMON, 1.0)
+        self.firm = np.array([firm.get(int(field.at[f]), 0) for f in field.fam.tolist()], dtype=np.int64)
+        self.pairs = [(int(field.slot[i]), int(field.slot[j]), pair, int(field.at[i]) in firm) for i, j, _, pair in field.pairs]
+        self.form_slot = field.form_slot
+        mine = [field.forms[f] for f in field.form_at.tolist()]
+        self.form_kind = np.array([KINDS.index(f[2]) for f in mine], dtype=np.int64)
+        self.form_x = np.array([f[3] for f in mine], dtype=np.float64).reshape(-1, len(FEATURES))
+        self.strong = np.array([-1 if f[5] is None else int(f[5]) for f in mine], dtype=np.int64)
+
+    def refresh(self, model: Model) -> None:
+        given = model.is_given()
+        rows, step = np.arange(len(self.fam)), np.where(self.two, 2, 1)
+        first = given[self.chars[rows, step]] & self.ok[0] if len(rows) else np.zeros(0, dtype=bool)
+        second = given[self.last] & self.ok[1]
+        self.dense[self.fam, _AT["given follows"]] = first
+        self.dense[self.fam, _AT["two given follow"]] = first & second
+        self.dense[self.part_slot, _AT["is a given part"]] = given[self.part_char]
+        for i, _, pair, _ in self.pairs:
+            self.dense[i, _AT["known words"]] = sum(w in model.words or w in _NAMES for w in pair)
+
+    def potentials(self, model: Model) -> np.ndarray:
+        node = np.where(self.allowed, 0.0, _NEVER)
+        node[:, 1:3] += self.dense @ model.name
+        for kind, w in model.form.items():
+            mine = self.form_kind == KINDS.index(kind)
+            node[self.form_slot[mine], 3] += self.form_x[mine] @ w
+        if model.table is not None:
+            for k in range(len(TEMPLATES)):
+                node[:, 1:] += model.table[self.hashed[:, k]]
+        return node
+
+    def edges(self) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        return self.linked
+
+    def labels(self, model: Model, trained: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(label, certain) of the tokens. Field names, mentions made of their parts and checked forms are certain; all
+        else is labelled by the model where that leaves no doubt. Before the first fit only clear refusals count."""
+        m = len(self.allowed)
+        alpha, beta, *_ = _chain(settle(self, model, 4), self.start, self.size, model.chain)
+        p = _marginals(alpha, beta)
+        label = p.argmax(axis=1).astype(np.int8)
+        sure = p[np.arange(m), label] > np.where(label > 0, 0.5, 0.99)
+        if not trained:
+            label = np.zeros(m, dtype=np.int8)
+            sure = p[:, 0] > 0.98
+        for k in (0, 1):
+            label[self.fam[self.usual] + k], sure[self.fam[self.usual] + k] = 0, True
+        step = np.where(self.two, 2, 1)
+        again = np.where(self.whole, step + 2, np.where(self.short & ~_flags(model.given)[self.last], step + 1, 0))
+        n = np.where(self.firm > 0, self.firm, again)
+        for s, k in zip(self.fam[n > 0].tolist(), n[n > 0].tolist()):
+            label[s], sure[s : s + k] = 1, True
+            label[s + 1 : s + k] = 2
+        for s, e, pair, firm in self.pairs:
+            if firm or pair[0] in model.words and pair[1] in model.words:
+                label[s], sure[s : e + 1] = 1, True
+                label[s + 1 : e + 1] = 2
+        told = self.strong >= 0
+        label[self.form_slot[told]], sure[self.form_slot[told]] = 3 * self.strong[told], True
+        return label, sure
+
+    def parts(self, model: Model) -> Counter:
+        """How often each character and word is a part of a certain name."""
+        label, sure = self.labels(model, True)
+        out: Counter = Counter()
+        for r, (s, two) in enumerate(zip(self.fam.tolist(), self.two.tolist())):
+            if label[s] == 1 and sure[s]:
+                k = 2 if two else 1
+                while s + k < len(label) and k < 4 and label[s + k] == 2:
+                    out["g", chr(self.chars[r, k])] += 1
+                    k += 1
+        for s, _, pair, _ in self.pairs:
+            if label[s] == 1 and sure[s]:
+                out.update(("w", w) for w in pair)
+        return out
+
+
+def _first_counts(texts) -> Counter:
+    """Of some texts: how many there are ("t") and use a beginning (a family character and the next) or a capitalised pair ("u"); how often fields name
+    a beginning ("n") and a whole name ("s"), and the parts of these names, characters ("g") and words ("w")."""
+    n: Counter = Counter()
     for t in texts:
-        for x in _SEED_ZH.finditer(t):
-            named[(x[1] + x[2])[:2]] = named.get((x[1] + x[2])[:2], 0) + 1
-    often = [x for x, k in n.items() if k > max(least, share * len(texts)) and named.get(x, 0) < max(2, 0.05 * k)]
-    model.usual = np.union1d(model.usual, np.array([ord(x[0]) << 16 | ord(x[1]) for x in often if isinstance(x, str)], dtype=np.int64))
-    model.usual_pairs = frozenset(x for x in often if isinstance(x, tuple))
-
-
-def _parts(field: Field, label: np.ndarray, sure: np.ndarray) -> tuple[dict, dict]:
-    """How often each character and word is a part of a certain name."""
-    given: dict = {}
-    words: dict = {}
-    for f, two in zip(field.fam.tolist(), field.two.tolist()):
-        s = field.slot[f]
-        if label[s] == 1 and sure[s]:
-            k = 2 if two else 1
-            while s + k < len(label) and k < 4 and label[s + k] == 2:
-                c = chr(field.chars[f + k])
-                given[c] = given.get(c, 0) + 1
-                k += 1
-    for i, j, _, pair in field.pairs:
-        if label[field.slot[i]] == 1 and sure[field.slot[i]]:
-            for w in pair:
-                words[w] = words.get(w, 0) + 1
-    return given, words
+        n["t", ""] += 1
+        n.update({*(("u", x) for x in _BEGINNING.findall(t)), *(("u", f"{a} {b}".lower()) for a, b in _TWO_WORDS.findall(t))})
+        for m in _SEED_ZH.finditer(t):
+            n["s", m[1] + m[2]] += 1
+            n["n", (m[1] + m[2])[:2]] += 1
+            n.update(("g", c) for c in m[2])
+        for m in _SEED_EN.finditer(t):
+            if m[1] not in _NOT_NAME and m[3] not in _NOT_NAME:
+                n.update((("w", m[1].lower()), ("w", m[3].lower())))
+    return n
 
 
-def fit(texts: list[str], strength: float = 0.5, turns: int = 10, rounds: int = 15, rate: float = 0.4) -> Model:
-    """The model of some texts. Each turn labels what it is certain of, fits node and chain weights and learns the
-    parts of the certain names; skip weights come from the last labels."""
-    seeds, firm, base = set(), {}, 0
-    given: dict = {}
-    words: dict = {}
+def _firm(texts: list[str]) -> dict:
+    """Where the names of fields begin in the joined texts, with their number of tokens."""
+    out, base = {}, 0
     for t in texts:
         for m in _SEED_ZH.finditer(t):
-            seeds.add(m[1] + m[2])
-            firm[base + m.start(1)] = len(m[1] + m[2])
-            for c in m[2]:
-                given[c] = given.get(c, 0) + 1
+            out[base + m.start(1)] = len(m[1] + m[2])
         for m in _SEED_EN.finditer(t):
             if m[1] not in _NOT_NAME and m[3] not in _NOT_NAME:
-                firm[base + m.start(1)] = 2
-                for w in (m[1].lower(), m[3].lower()):
-                    words[w] = words.get(w, 0) + 1
+                out[base + m.start(1)] = 2
         base += len(t) + 1
+    return out
+
+
+def _usual_bound(n: int, share: float = 0.004, least: int = 3) -> float:
+    """Beginnings and capitalised pairs that more texts than this use are words, no persons."""
+    return max(least, share * n)
+
+
+def _learn_usual(model: Model, n: int, often: dict, named: dict) -> None:
+    """``often``: the beginnings and pairs of more than _usual_bound of all ``n`` texts; a beginning that fields name often enough is a person's after all."""
+    model.evidence = float(np.clip(np.log(max(n, 1) / 20) / np.log(50), 0, 1))
+    words = [x for x, k in often.items() if named.get(x, 0) < max(2, 0.05 * k)]
+    model.usual = np.union1d(model.usual, np.array([ord(x[0]) << 16 | ord(x[1]) for x in words if " " not in x], dtype=np.int64))
+    model.usual_pairs = frozenset(tuple(x.split(" ")) for x in words if " " in x)
+
+
+def _code(name: str) -> int:
+    """Up to four characters as one number."""
+    x = sum(ord(c) << (16 * k) for k, c in enumerate(name))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _codes(names) -> np.ndarray:
+    return np.sort(np.array([_code(x) for x in names], dtype=np.int64))
+
+
+def _count_batches(batches):
+    for batch in batches:
+        n = _first_counts(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["what", "x", "n"])
+
+
+def _keeper(sent):
+    def run(batches):
+        for batch in batches:
+            model, seeds = sent.value
+            texts = batch.column(0).to_pylist()
+            for a, e in tx.blocks(texts):
+                part = texts[a:e]
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(Kept(Field(part, model, fitting=True), model, seeds, _firm(part))), 1)], pa.binary())], names=["field"])
+
+    return run
+
+
+class _Examples:
+    """The certain segments of some fields, equal ones once with their number."""
+
+    def __init__(self, kept, model: Model, trained: bool):
+        rows: list = []
+        self.agree: Counter = Counter()
+        for field in kept:
+            if not len(field.start):
+                continue
+            field.refresh(model)
+            label, sure = field.labels(model, trained)
+            for name, i, j in field.edges():
+                ok = sure[i] & sure[j]
+                a, b = label[i[ok]] > 0, label[j[ok]] > 0
+                for what, c in (("both", a & b), ("none", ~a & ~b), ("one", a != b)):
+                    self.agree[name, what] += int(c.sum())
+            good = np.ones(len(field.start), dtype=bool)
+            good[np.repeat(np.arange(len(field.start)), field.size)[~sure]] = False
+            if not good.any():
+                continue
+            at = np.flatnonzero(np.repeat(good, field.size))
+            x = np.zeros((len(label), 1 + len(FEATURES)), dtype=np.float32)
+            x[field.form_slot, 0], x[field.form_slot, 1:] = field.form_kind + 1, field.form_x
+            y, allowed = label[at], field.allowed[at]
+            allowed[np.arange(len(at)), y] = True
+            rows.append(_once(field.size[good], y, allowed, field.dense[at], field.hashed[at], x[at], field.weight[good]))
+            if len(rows) > 15:
+                rows = [_once(*map(np.concatenate, zip(*rows)))]
+        self.positive = any((r[1] > 0).any() for r in rows)
+        self.empty = not rows
+        if rows:
+            self.size, self.y, self.allowed, self.dense, hashed, self.x, self.times = _once(*map(np.concatenate, zip(*rows)))
+            self.used, flat = np.unique(hashed, return_inverse=True)
+            self.flat = np.ascontiguousarray(flat.reshape(len(self.y), -1).T.astype(np.int32))
+            inner = np.ones(len(self.y), dtype=bool)
+            inner[np.cumsum(self.size) - 1] = False
+            i = self.inner = np.flatnonzero(inner)
+            self.steps = np.bincount(self.y[i].astype(np.int64) * LABELS + self.y[i + 1], np.repeat(self.times, self.size)[i], minlength=LABELS * LABELS).reshape(LABELS, LABELS)
+
+    def gradient(self, w: np.ndarray, model: Model) -> list:
+        """[used buckets, theirs, that of the name features, of the chain, then of each kind of form], without the prior."""
+        w, size = w[self.used], self.size
+        start = np.cumsum(size) - size
+        times = np.repeat(self.times, size)
+        node = np.where(self.allowed, 0.0, _NEVER)
+        node[:, 1:3] += self.dense @ model.name
+        kinds = {kind: np.flatnonzero(self.x[:, 0] == KINDS.index(kind) + 1) for kind in WEIGHTS}
+        for kind, s in kinds.items():
+            node[s, 3] += self.x[s, 1:] @ model.form[kind]
+        for at in self.flat:
+            node[:, 1:] += w[at]
+        alpha, beta, e, a = _chain(node, start, size, model.chain)
+        d = -_marginals(alpha, beta)
+        d[np.arange(len(self.y)), self.y] += 1
+        d = d[:, 1:] * times[:, None]
+        i = self.inner
+        after = (e * beta)[i + 1]
+        joint = (alpha[i] * (times[i] / ((alpha[i] @ a) * after).sum(axis=1))[:, None]).T @ after * a
+        g = np.stack([sum(np.bincount(at, x, minlength=len(self.used)) for at in self.flat) for x in np.ascontiguousarray(d.T)], axis=1)
+        return [self.used, g, self.dense.T.astype(np.float64) @ d[:, :2], self.steps - joint, {k: self.x[s, 1:].T.astype(np.float64) @ d[s, 2] for k, s in kinds.items()}]
+
+
+def _once(size, y, allowed, dense, hashed, x, times):
+    """Equal segments once, their numbers added up."""
+    rng = np.random.default_rng(8)
+    raw = np.concatenate([y[:, None].astype(np.int64), allowed, (dense * 64).astype(np.int64), hashed, (x * 64).astype(np.int64)], axis=1).astype(np.uint64)
+    key = raw @ rng.integers(1, 1 << 62, raw.shape[1], dtype=np.uint64)
+    key ^= key >> np.uint64(31)
+    start = np.cumsum(size) - size
+    place = np.arange(len(y)) - np.repeat(start, size)
+    key = (key + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))
+    key ^= key >> np.uint64(29)
+    total = np.add.reduceat(key * np.uint64(0xD6E8FEB86659FD93), start) + size.astype(np.uint64)
+    _, first, which = np.unique(total, return_index=True, return_inverse=True)
+    n = np.bincount(which, times)
+    take = np.repeat(start[first] - (np.cumsum(size[first]) - size[first]), size[first]) + np.arange(int(size[first].sum()))
+    return size[first], y[take], allowed[take], dense[take], hashed[take], x[take], n
+
+
+def _sum_gradients(parts) -> tuple:
+    total = None
+    for part in parts:
+        if total is None:
+            total = (np.zeros((BUCKETS, 3)), np.zeros(BUCKETS, dtype=bool), part[2], part[3], part[4])
+        else:
+            total = (total[0], total[1], total[2] + part[2], total[3] + part[3], {k: v + part[4][k] for k, v in total[4].items()})
+        total[0][part[0]] += part[1]
+        total[1][part[0]] = True
+    return total
+
+
+class _Here:
+    """Fields of this process, as fitting goes over them; ``_Spread`` does the same on the executors."""
+
+    def __init__(self, kept: list):
+        self.kept = kept
+
+    def label(self, model: Model, trained: bool) -> tuple[bool, Counter]:
+        self.examples = _Examples(self.kept, model, trained)
+        return self.examples.positive, self.examples.agree
+
+    def gradient(self, w: np.ndarray, model: Model) -> tuple:
+        return _sum_gradients([self.examples.gradient(w, model)])
+
+    def parts(self, model: Model) -> Counter:
+        return sum((k.parts(model) for k in self.kept if len(k.start)), Counter())
+
+
+class _Spread:
+    def __init__(self, spark: SparkSession, blocks: DataFrame):
+        self.sc, self.examples = spark.sparkContext, None
+        self.blocks = blocks.repartition(max(blocks.rdd.getNumPartitions(), min(self.sc.defaultParallelism, 32))).rdd
+
+    def label(self, model: Model, trained: bool) -> tuple[bool, Counter]:
+        if self.examples is not None:
+            self.examples.unpersist()
+        sent = self.sc.broadcast(model)
+        self.examples = self.blocks.mapPartitions(lambda rows: [_Examples((pickle.loads(zlib.decompress(r[0])) for r in rows), sent.value, trained)]).persist(StorageLevel.DISK_ONLY)
+        said = self.examples.map(lambda x: (x.positive, x.agree)).collect()
+        return any(p for p, _ in said), sum((c for _, c in said), Counter())
+
+    def gradient(self, w: np.ndarray, model: Model) -> tuple:
+        used = Model()
+        used.name, used.form, used.chain = model.name, model.form, model.chain
+        sent = self.sc.broadcast((w, used))
+        tasks = self.examples.coalesce(max(1, min(self.sc.defaultParallelism, 32)))  # one sum a core reaches the driver
+
+        def run(xs):
+            total = _sum_gradients(x.gradient(*sent.value) for x in xs if not x.empty)
+            if total is None:
+                return []
+            at = np.flatnonzero(total[1])
+            return [[at, total[0][at], *total[2:]]]
+
+        out = _sum_gradients(tasks.mapPartitions(run).toLocalIterator() if tasks.getNumPartitions() > 32 else tasks.mapPartitions(run).collect())
+        sent.destroy()
+        return out
+
+    def parts(self, model: Model) -> Counter:
+        sent = self.sc.broadcast(model)
+
+        def run(rows):
+            out: Counter = Counter()
+            for r in rows:
+                kept = pickle.loads(zlib.decompress(r[0]))
+                if len(kept.start):
+                    kept.refresh(sent.value)
+                    out += kept.parts(sent.value)
+            return out.items()
+
+        return Counter(dict(self.blocks.mapPartitions(run).reduceByKey(lambda a, b: a + b).collect()))
+
+
+def fit(texts: list[str], strength: float = 0.5, turns: int = 10, rounds: int = 15, rate: float = 0.4) -> Model:
+    """The model of some texts, all in this process."""
+    n = _first_counts(texts)
+    of = lambda kind: {x: k for (what, x), k in n.items() if what == kind}
     model = Model()
-    _learn_usual(model, texts)
+    _learn_usual(model, len(texts), {x: k for x, k in of("u").items() if k > _usual_bound(len(texts))}, of("n"))
+    kept = [Kept(Field(texts, model, fitting=True), model, _codes(of("s")), _firm(texts))]
+    return _fit(_Here(kept), model, {c for c, k in of("g").items() if k >= 2}, {w for w, k in of("w").items() if k >= 2}, len(texts), strength, turns, rounds, rate)
+
+
+def _fit(over: _Here | _Spread, model: Model, given: set, words: set, n: int, strength: float = 0.5, turns: int = 10, rounds: int = 15, rate: float = 0.4) -> Model:
+    """Each turn labels what it is certain of, fits node and chain weights and learns the parts of the certain names, those that
+    fields name or a thousandth of the texts; skip weights come from the last labels."""
+    known = (frozenset(given), frozenset(words))
     for turn in range(turns):
-        known = (frozenset(c for c, n in given.items() if n >= 2), frozenset(w for w, n in words.items() if n >= 2))
         if turn > 3 and known == (model.given, model.words):
             break  # nothing more to learn
         model.given, model.words = known
-        field = Field(texts, model, fitting=True)
-        if not len(field.tok):
-            return model
-        label, sure = _labels(field, seeds, firm, model, turn > 0)
-        good = np.ones(len(field.start), dtype=bool)
-        good[np.repeat(np.arange(len(field.start)), field.size)[~sure]] = False
-        if not (label[np.repeat(good, field.size)] > 0).any():
+        positive, agree = over.label(model, turn > 0)
+        if not positive:
             return model
-        _climb(field, model, label, good, strength, rounds, rate)
-        _fit_skips(field, model, label, sure)
-        label, sure = _labels(field, seeds, firm, model, True)
-        given, words = _parts(field, label, sure)
+        _climb(over, model, strength, rounds, rate)
+        _fit_skips(model, agree)
+        found = over.parts(model)
+        new: tuple = (set(given), set(words))
+        for (kind, x), k in found.items():
+            if k >= max(2, n / 1000):
+                new[kind == "w"].add(x)
+        known = (frozenset(new[0]), frozenset(new[1]))
     return model
 
 
-def _climb(field: Field, model: Model, label, good, strength: float, rounds: int, rate: float) -> None:
-    """Maximum likelihood with a Gaussian prior at the defaults, by adaptive gradient steps."""
+def _climb(over: _Here | _Spread, model: Model, strength: float, rounds: int, rate: float) -> None:
+    """Maximum likelihood with a Gaussian prior at the defaults, by adaptive gradient steps over all certain segments."""
     base = Model()
-    segment = np.repeat(good, field.size)
-    rows = np.flatnonzero(segment)
-    size = field.size[good]
-    start = np.cumsum(size) - size
-    y, allowed, dense = label[rows], field.allowed[rows], field.dense[rows]
-    allowed[np.arange(len(y)), y] = True
-    used, flat = np.unique(field.hashed[rows], return_inverse=True)
-    flat = flat.reshape(len(rows), -1)
-    w = np.zeros((len(used), 3)) if model.table is None else model.table[used].astype(np.float64)
-    place = np.full(len(segment), -1)
-    place[rows] = np.arange(len(rows))
-    kinds = {}
-    for kind in WEIGHTS:
-        mine = [(place[s], field.forms[f][3]) for s, f in zip(field.form_slot.tolist(), field.form_at.tolist()) if field.forms[f][2] == kind and place[s] >= 0]
-        if mine:
-            kinds[kind] = (np.array([s for s, _ in mine]), np.array([x for _, x in mine]))
-    one = np.zeros((len(y), LABELS))
-    one[np.arange(len(y)), y] = 1
-    inner = np.ones(len(y), dtype=bool)
-    inner[start + size - 1] = False
-    i = np.flatnonzero(inner)
-    steps = np.zeros((LABELS, LABELS))
-    np.add.at(steps, (y[i], y[i + 1]), 1)
+    w = np.zeros((BUCKETS, 3)) if model.table is None else model.table.astype(np.float64)
+    free = base.chain > _NEVER
     state: dict = {}
 
     def step(key, value, gradient):
@@ -832,37 +1063,25 @@ def _climb(field: Field, model: Model, label, good, strength: float, rounds: int
         return value + rate * gradient / np.sqrt(s)
 
     for _ in range(rounds):
-        node = np.where(allowed, 0.0, _NEVER)
-        node[:, 1:3] += dense @ model.name
-        for kind, (s, x) in kinds.items():
-            node[s, 3] += x @ model.form[kind]
-        for k in range(flat.shape[1]):
-            node[:, 1:] += w[flat[:, k]]
-        alpha, beta, e, a = _chain(node, start, size, model.chain)
-        p = _marginals(alpha, beta)
-        d = (one - p)[:, 1:]
-        joint = alpha[i][:, :, None] * a * (e * beta)[i + 1][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        g = np.stack([sum(np.bincount(flat[:, k], d[:, c], minlength=len(used)) for k in range(flat.shape[1])) for c in range(3)], axis=1)
+        g, used, name, chain, forms_ = over.gradient(w, model)
+        w[~used] = 0
         w = step("w", w, g - 0.2 * strength * w)
-        model.name = step("name", model.name, dense.T @ d[:, :2] - 5 * strength * (model.name - base.name))
-        for kind, (s, x) in kinds.items():
-            model.form[kind] = step(kind, model.form[kind], x.T @ d[s, 2] - 20 * strength * (model.form[kind] - base.form[kind]))
-        free = base.chain > _NEVER
-        model.chain = np.where(free, step("chain", model.chain, np.where(free, steps - joint.sum(axis=0), 0.0) - 5 * strength * (model.chain - base.chain)), base.chain)
-    table = np.zeros((BUCKETS, 3), dtype=np.float32)
-    table[used] = w
-    model.table = table
+        model.name = step("name", model.name, name - 5 * strength * (model.name - base.name))
+        for kind, x in forms_.items():
+            if x.any():
+                model.form[kind] = step(kind, model.form[kind], x - 20 * strength * (model.form[kind] - base.form[kind]))
+        model.chain = np.where(free, step("chain", model.chain, np.where(free, chain, 0.0) - 5 * strength * (model.chain - base.chain)), base.chain)
+    model.table = w.astype(np.float32)
 
 
-def _fit_skips(field: Field, model: Model, label, sure) -> None:
+def _fit_skips(model: Model, agree: Counter) -> None:
     """Log odds of agreement against independence of the ends of an edge, halved as both ends count elsewhere too."""
-    for name, i, j in field.edges():
-        ok = sure[i] & sure[j]
-        a, b = label[i[ok]] > 0, label[j[ok]] > 0
-        n11, n00, n10 = float((a & b).sum()) + 1, float((~a & ~b).sum()) + 1, float((a != b).sum()) / 2 + 1
-        prior = SKIP[name]
-        share = len(a) / (len(a) + 20)
+    for name, prior in SKIP.items():
+        if not any((name, x) in agree for x in ("both", "none", "one")):
+            continue
+        n = sum(agree[name, x] for x in ("both", "none", "one"))
+        n11, n00, n10 = agree[name, "both"] + 1.0, agree[name, "none"] + 1.0, agree[name, "one"] / 2 + 1.0
+        share = n / (n + 20)
         p = (n11 + n10) / (n11 + n00 + 2 * n10)
         total = n11 + n00 + 2 * n10
         both, none = np.log(n11 / total / (p * p)), np.log(n00 / total / ((1 - p) ** 2))
@@ -870,6 +1089,7 @@ def _fit_skips(field: Field, model: Model, label, sure) -> None:
         fitted = (np.clip(both - cross, 0, 6), np.clip(none - cross, 0, 6))
         model.skip[name] = tuple(float(share * f / 2 + (1 - share) * q) for f, q in zip(fitted, prior))
 
+
 def mask(text: str, spans: list[tuple]) -> str:
     parts, last = [], 0
     for s, e, kind, *_ in spans:
@@ -879,19 +1099,30 @@ def mask(text: str, spans: list[tuple]) -> str:
 
 
 class Finder:
-    """Fitted once over a table of texts; ``spans`` and ``masked`` apply it to all rows. ``fit_docs`` bounds the
-    labelled documents, which are those of least hash."""
+    """Fitted once over a whole table of texts; ``spans`` and ``masked`` apply it to all rows. One pass counts, one keeps
+    the fields, the turns go over these."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, text: str = "text", fit_docs: int = FIT_DOCS):
+    def __init__(self, spark: SparkSession, documents: DataFrame, text: str = "text"):
         self.rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        usable = self.rows.where("text is not null and text <> ''")
-        n = usable.count() if fit_docs else 0
-        share = min(1.0, (fit_docs + 6 * fit_docs**0.5 + 10) / n) if n else 1.0  # six deviations more than are wanted reach the driver
-        key = F.xxhash64("doc_id", F.lit(29))
-        near = usable.where(F.pmod(key, F.lit(10**9)) <= int(share * 10**9)) if share < 1 else usable
-        sample = [r[0] for r in near.select("text", key.alias("key")).orderBy("key", F.xxhash64("text")).limit(fit_docs).collect()] if fit_docs else []
-        self.model = fit(sample)
-        self.sent = spark.sparkContext.broadcast(self.model)  # BUCKETS weights, whatever the input
+        usable = self.rows.where("text is not null and text <> ''").select("text")
+        scratch = Scratch(spark, "pii")
+        counts = scratch.write(usable.mapInArrow(_count_batches, "what string, x string, n bigint").groupBy("what", "x").agg(F.sum("n").alias("n")), "counts")
+        n = (counts.where("what = 't'").first() or {"n": 0})["n"]
+        model = Model()
+        if n:
+            often = counts.where((F.col("what") == "u") & (F.col("n") > _usual_bound(n)))
+            named = counts.where("what = 'n'").join(often.select("x"), "x", "left_semi")
+            of = lambda df: {r["x"]: r["n"] for r in df.select("x", "n").toLocalIterator()}
+            _learn_usual(model, n, of(often), of(named))
+            seeds = np.sort(np.fromiter((_code(r[0]) for r in counts.where("what = 's'").select("x").toLocalIterator()), dtype=np.int64))
+            sent = spark.sparkContext.broadcast((model, seeds))
+            blocks = scratch.write(usable.mapInArrow(_keeper(sent), "field binary"), "fields")
+            over = _Spread(spark, blocks)
+            model = _fit(over, model, set(of(counts.where("what = 'g' and n >= 2"))), set(of(counts.where("what = 'w' and n >= 2"))), n)
+            over.examples.unpersist()
+        scratch.drop()
+        self.model = model
+        self.sent = spark.sparkContext.broadcast(self.model)
 
     def _run(self, masked: bool):
         sent = self.sent

@@ -120,6 +120,26 @@ def test_fit_learns_contexts_and_parts():
     assert hits >= 0.7 * truth and hits >= 0.95 * found_
 
 
+def test_every_row_is_counted_and_fitted(spark):
+    """The model of a table is that of all its texts, however many and however they are spread."""
+    rng = np.random.default_rng(2)
+    family, given = "陆沈顾谢傅", "衿桐岫珩栩砚翎霁"
+    name = lambda: family[rng.integers(5)] + "".join(given[i] for i in rng.integers(0, 8, 2))
+    texts = [f"作者：{name()}\n今天{name()}写下了{("高楼", "江风", "林间")[i % 3]}的事。" + ("电话 15408965948。" if i % 50 == 0 else "") for i in range(2600)]
+    got = pii.Finder(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).model
+    want = pii.fit(texts)
+    assert got.given == want.given and got.words == want.words and got.usual.tolist() == want.usual.tolist() and got.usual_pairs == want.usual_pairs
+    assert np.allclose(got.table, want.table, atol=1e-4) and np.allclose(got.name, want.name, atol=1e-4) and got.skip == want.skip
+
+
+def test_equal_segments_count_by_their_number():
+    texts = ["作者：陆衿桐\n今天陆衿桐写下了这件事。", "作者：沈岫\n电话 15408965948。"]
+    once, thrice = pii.Model(), pii.Model()
+    one, three = (pii._Examples([pii.Kept(pii.Field(t, m, True), m, pii._codes({"陆衿桐", "沈岫"}), pii._firm(t)) for t in (texts,) * k], m, False) for m, k in ((once, 1), (thrice, 3)))
+    a, b = (x.gradient(np.zeros((pii.BUCKETS, 3)), pii.Model()) for x in (one, three))
+    assert len(one.y) == len(three.y) > 0 and (three.times == 3 * one.times).all() and np.allclose(3 * a[1], b[1]) and np.allclose(3 * a[2], b[2]) and np.allclose(3 * a[3], b[3])
+
+
 def test_mask_and_edges(spark):
     rows = [(1, "电话 15408965948，好"), (1, "电话 15408965948，好"), (None, "邮箱a@b.example"), (2, None), (3, ""), (4, "长文" * 100_000 + "电话 15408965948")]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id bigint, text string, kind string, start_pos int")
