@@ -1,3 +1,4 @@
+import copy
 import itertools
 import re
 
@@ -149,3 +150,45 @@ def test_mask_and_edges(spark):
     spans = sorted((r.doc_id or 0, r.kind, r.start_pos) for r in f.spans().collect())
     assert spans == [(0, "email", 3), (1, "phone", 4), (1, "phone", 4), (4, "phone", 200_004)]
     assert pii.Finder(spark, df.limit(0)).spans().count() == 0
+
+
+def test_segments_of_three_tokens_as_all_others():
+    """The closed form for one beginning and two tokens gives the gradient that the chain gives."""
+    texts = ["作者：陆衿桐\n今天陆衿桐写下了这件事。高楼的白花，江边的石头路。方便的时候再说", "大家都觉得金石小店很安静，安排在高中。"]
+    model = pii.Model()
+    one = pii._Examples([pii.Kept(pii.Field(texts, model, True), model, pii._codes({"陆衿桐"}), pii._firm(texts))], model, False)
+    other, rng = copy.copy(one), np.random.default_rng(7)
+    inner = np.ones(len(one.y), dtype=bool)
+    inner[np.cumsum(one.size) - 1] = False
+    i = np.flatnonzero(inner)
+    other.three, other.inner = 0, i
+    other.steps = np.bincount(one.y[i] * 4 + one.y[i + 1], np.repeat(one.times, one.size)[i], minlength=16).reshape(4, 4)
+    w = rng.normal(size=(pii.BUCKETS, 3))
+    assert 0 < one.three < len(one.size)
+    assert all(np.allclose(a, b) for a, b in zip(one.gradient(w, model)[:4], other.gradient(w, model)[:4]))
+
+
+def test_plain_segments_are_kept_once_over_all_tasks(spark, monkeypatch):
+    """Beginnings that are words are kept once for the whole table, not once for each task or turn, and found rows are those of the texts."""
+    kept = []
+    fit = pii._fit
+    monkeypatch.setattr(pii, "_fit", lambda over, *a: (kept.append([pii._unpacked(r[1]) for r in over.blocks.collect() if r[0]]), fit(over, *a, turns=1))[1])
+    lines = [f"第{a}座{b}，方便的时候再说。" for a in "一二三四五六七" for b in ("高楼很高", "白花很白", "江边风大", "石头路滑")]
+    texts = [f"{x}\n作者：陆衿桐\n电话 15408965948。" for x in lines]
+    for times in (1, 6):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * times)], "doc_id bigint, text string").repartition(4)
+        f = pii.Finder(spark, df)
+        got = sorted((r.doc_id, r.kind, r.start_pos, r.end_pos) for r in f.spans().collect())
+        assert got == sorted((i, k, s + 1, e) for i, t in enumerate(texts * times) for s, e, k in pii.spans([t], f.model)[0])
+    a, b = (sum(len(p[0]) for p in x) for x in kept)
+    assert a == b > 0 and 6 * sum(p[1].sum() for p in kept[0]) == pytest.approx(sum(p[1].sum() for p in kept[1]))
+
+
+def test_quick_looks_miss_nothing():
+    """Expressions that the block's characters rule out find nothing, and stated names are those of the whole expression."""
+    texts = ["见 a @ b.example", "ab at x dot y dot test", "ab (at) x (dot) y (dot) test", "电话（０１０）６２３４５６７８", "电话 𝟏𝟓𝟒𝟎𝟖𝟗𝟔𝟓𝟗𝟒𝟖。", "SSN 666-01-7106", "护照号XQ4042804", "14 Alder Road", "艾特ab", "ab艾特x.example", "", "一五四七五一〇〇八四五", "1 2 3 4 5 6 7", "Dear Dr. Maren  Lindqvarn, Mrs. Orla K. Webb\nAuthor: A'b Cd. Name:  Ef Gh"]
+    for t in texts:
+        want = pii.forms(t)
+        got = pii.Field([t, "无"], pii.Model()).forms
+        assert [f[:3] for f in got] == [f[:3] for f in want]
+        assert [m.span() for m in pii._stated_en(t)] == [m.span() for m in pii._SEED_EN.finditer(t)]
